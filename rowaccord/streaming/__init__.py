@@ -1,0 +1 @@
+"""Nothing here: every input of this library is a finite table, so all operators are batch jobs."""

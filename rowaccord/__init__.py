@@ -1,6 +1,17 @@
 """Reconcile and check tables with Spark: diff, profile, key discovery, validation, reports."""
 
-from .functions.compare import IgnoreRules, normalize_text
+from .functions.compare import IgnoreRules
+from .operators.aggregates import aggregation_compare, transactional_compare
+from .operators.checks import (
+    ColumnRule,
+    ValidationConfig,
+    check_summary,
+    checks,
+    rule_checks,
+    schema_drift_checks,
+    validate,
+    validate_pair,
+)
 from .operators.diff import (
     Diff,
     DiffSpec,
@@ -12,5 +23,22 @@ from .operators.diff import (
     diff_counts,
     diff_sample,
 )
+from .operators.keys import discover_keys, key_multiplicity, key_nulls, suggest_keys, validate_key
+from .operators.profile import (
+    profile_column,
+    profile_columns,
+    profile_distinct,
+    profile_min_max,
+    profile_nulls,
+    profile_parse_counts,
+    profile_samples,
+    profile_types,
+)
+from .operators.schema import apply_column_map, compare_schemas, rename_candidates, schema_score
+from .operators.valuesets import value_set_counts, value_set_members
+from .plans.compare import CompareSpec, compare, multi_compare
+from .plans.report import diff_json, diff_summary, report_json, report_tables, write_changes, write_report
+from .sources.delimited import detect_delimiter, detect_encoding, infer_types, read_delimited, table_metadata
+from .sources.workbooks import list_workbook_sheets, read_workbooks
 
-__all__ = [n for n in dir() if not n.startswith("_")]
+__all__ = [n for n in dir() if n[0] != "_" and n not in {"functions", "operators", "plans", "sources", "streaming"}]

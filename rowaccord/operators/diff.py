@@ -3,11 +3,12 @@
 One full outer join carries one copy of every compared value; the semantic and the raw
 view are computed after it. How the join is laid out follows from the key scan:
 
-* keys that repeat on at most one side (the normal case) go through a shuffled join on the key;
+* keys whose rarer side has few rows (in a clean table: one) go through a shuffled join on
+  the key, whose result is linear in the input;
 * rows with a null in the key match nothing and skip the join;
 * a key with very many rows on one side is taken out of the shuffle and joined by broadcast,
   the list of such keys having a proven size;
-* a key that repeats on both sides would give the product of its rows. Those pairs are
+* a key with many rows on both sides would give the product of its rows. Those pairs are
   counted exactly from value histograms, and listed as distinct contents with their number
   of copies, but never written out pair by pair.
 """
@@ -45,6 +46,10 @@ SAMPLE_ROWS = 200
 HOT_KEY_ROWS = 100_000
 MOST_HOT_KEYS = 100_000
 
+# Rows that the rarer side of a key may have for its pairs to be joined one by one: the join
+# then has at most this many rows per input row.
+PAIRED_ROWS = 8
+
 
 @dataclass(frozen=True)
 class DiffSpec:
@@ -55,6 +60,7 @@ class DiffSpec:
     column_map: Sequence[Mapping[str, str]] | Mapping[str, str] | None = None
     compare_columns: Sequence[str] | None = None
     hot_key_rows: int = HOT_KEY_ROWS
+    paired_rows: int = PAIRED_ROWS
 
 
 class Diff:
@@ -71,7 +77,7 @@ class Diff:
             raise ValueError("at least one key column is needed")
         self.spec = spec
         self.df1, self.df2 = df1, df2
-        self.check = check or check_keys(df1, df2, spec.keys)
+        self.check = check or check_keys(df1, df2, spec.keys, spec.paired_rows)
         self.columns = self._compared_columns()
         self.keys = key_names(len(spec.keys))
         self._stored: DataFrame | None = None
@@ -119,6 +125,18 @@ class Diff:
     def _hot_keys(self) -> DataFrame:
         return self._key_counts.where(F.greatest("rows_1", "rows_2") > self._hot_limit)
 
+    @property
+    def _has_factored_keys(self) -> bool:
+        return self.check.crowded_keys > 0 or (self._has_hot_keys and self.check.repeated_on_both > 0)
+
+    @property
+    def _is_factored(self) -> Column:
+        """Keys whose pairs are counted but not formed: crowded on both sides, or hot and repeated."""
+        return F.expr(
+            f"least(rows_1, rows_2) > {self.spec.paired_rows} "
+            f"OR (least(rows_1, rows_2) > 1 AND greatest(rows_1, rows_2) > {self._hot_limit})"
+        )
+
     def _without_hot(self, side: DataFrame) -> DataFrame:
         if not self._has_hot_keys:
             return side
@@ -130,7 +148,7 @@ class Diff:
 
     @cached_property
     def _joined(self) -> DataFrame:
-        """``_k*, _a, _b, _a*, _b*`` of all join rows, but for keys that repeat on both sides."""
+        """``_k*, _a, _b, _a*, _b*`` of all join rows, but for the factored keys."""
         one, two = self._sides
         parts: list[DataFrame] = []
         if self.check.null_rows_1:
@@ -141,12 +159,11 @@ class Diff:
             two = two.where(none_null(self.keys))
 
         cool_1, cool_2 = self._without_hot(one), self._without_hot(two)
-        if self.check.repeated_on_both:
+        if self._has_factored_keys:
             # Same hash partitioning as the join that follows, so no further shuffle of the sides.
-            single = self._key_counts.where(F.least("rows_1", "rows_2") <= 1)
-            single = self._without_hot(single).select(*self.keys)
-            cool_1 = cool_1.join(single, self.keys, "left_semi")
-            cool_2 = cool_2.join(single, self.keys, "left_semi")
+            paired = self._without_hot(self._key_counts.where(~self._is_factored)).select(*self.keys)
+            cool_1 = cool_1.join(paired, self.keys, "left_semi")
+            cool_2 = cool_2.join(paired, self.keys, "left_semi")
         parts.insert(0, cool_1.join(cool_2, self.keys, "full"))
 
         if self._has_hot_keys:
@@ -204,9 +221,9 @@ class Diff:
                 F.expr(f"count_if(_c{i} = {NULL_RESOLVED})").alias(f"_r{i}"),
             ]
         counters = self._coded.agg(*aggs)
-        if not self.check.repeated_on_both:
+        if not self._has_factored_keys:
             return counters
-        both = counters.unionByName(self._repeated_counter_row(per_column))
+        both = counters.unionByName(self._factored_counter_row(per_column))
         wide = self.check.join_rows > 2**63 - 1
         total = [F.sum(c).cast("decimal(38,0)" if wide else "bigint").alias(c) for c in counters.columns]
         return both.agg(*total)
@@ -355,12 +372,11 @@ class Diff:
         copy._stored = self.df1.sparkSession.read.parquet(path)
         return copy
 
-    # ---- keys that repeat on both sides -----------------------------------------------
+    # ---- factored keys ----------------------------------------------------------------
 
-    def _repeated_sides(self) -> tuple[DataFrame, DataFrame]:
-        """Rows of both sides whose key occurs more than once on either side."""
-        repeated = self._key_counts.where(F.least("rows_1", "rows_2") > 1)
-        cool = self._without_hot(repeated).select(*self.keys)
+    def _factored_sides(self) -> tuple[DataFrame, DataFrame]:
+        """Rows of both sides whose key has many rows on either side."""
+        cool = self._without_hot(self._key_counts.where(self._is_factored)).select(*self.keys)
 
         def rows(side: DataFrame) -> DataFrame:
             side = side.where(none_null(self.keys))
@@ -388,7 +404,7 @@ class Diff:
         return semantic, raw
 
     def _contents(self, per_column: bool, full_raw: bool = False) -> DataFrame:
-        """``_k*, item, sem, raw, n1, n2``: copies of each distinct content of repeated keys.
+        """``_k*, item, sem, raw, n1, n2``: copies of each distinct content of factored keys.
 
         ``item`` −1 stands for the whole row; with ``per_column`` each column is an item too.
         """
@@ -405,7 +421,7 @@ class Diff:
                 entries += [item(i, [s], [r]) for i, (s, r) in enumerate(zip(semantic, raw))]
             return df.select(*self.keys, F.expr(f"inline(array({', '.join(entries)}))"), F.lit(side == 0).alias("_first"))
 
-        one, two = self._repeated_sides()
+        one, two = self._factored_sides()
         return (
             items(one, 0)
             .unionAll(items(two, 1))
@@ -413,8 +429,8 @@ class Diff:
             .agg(F.count_if("_first").alias("n1"), F.count_if(~F.col("_first")).alias("n2"))
         )
 
-    def _repeated_counter_row(self, per_column: bool) -> DataFrame:
-        """Counters of the join rows of repeated keys, from products of copy counts.
+    def _factored_counter_row(self, per_column: bool) -> DataFrame:
+        """Counters of the join rows of factored keys, from products of copy counts.
 
         With N1, N2 copies of a key, N1·N2 join rows exist; the equal ones are the sum
         of n1·n2 over its contents, so no pair has to be formed.
@@ -457,8 +473,8 @@ class Diff:
             aggs += [of(i, x).alias(f"_{x}{i}") for x in "mfir"]
         return per_item.agg(*aggs)
 
-    def repeated_contents(self) -> DataFrame:
-        """Keys that repeat on both sides, as distinct row contents with copy counts.
+    def factored_contents(self) -> DataFrame:
+        """Keys with many rows on both sides, as distinct row contents with copy counts.
 
         One row per key and distinct content: ``rows_f1`` and ``rows_f2`` copies, the raw
         ``values``, and how many of the key's join rows that start from these table-1

@@ -81,6 +81,7 @@ class KeyCheck:
     most_rows_1: int  # rows of the most frequent complete key
     most_rows_2: int
     repeated_on_both: int  # complete keys that occur more than once on both sides
+    crowded_keys: int  # complete keys that occur more than ``paired_rows`` times on both sides
     join_rows: int  # rows of the full outer join, repeated keys multiplied out
 
     @property
@@ -88,7 +89,7 @@ class KeyCheck:
         return self.duplicates_1 == 0 and self.duplicates_2 == 0
 
 
-def check_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> KeyCheck:
+def check_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], paired_rows: int = 1) -> KeyCheck:
     """Run the key scan; one row of counters comes to the driver."""
     counts = rows_per_key(a, b, keys)
     names = key_names(len(keys))
@@ -112,6 +113,7 @@ def check_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> KeyCheck:
         F.coalesce(F.max(F.when(full, n1)), zero).alias("most_rows_1"),
         F.coalesce(F.max(F.when(full, n2)), zero).alias("most_rows_2"),
         F.count_if(full & (n1 > 1) & (n2 > 1)).alias("repeated_on_both"),
+        F.count_if(full & (n1 > paired_rows) & (n2 > paired_rows)).alias("crowded_keys"),
         F.coalesce(
             F.sum(
                 F.when(full, wide(F.greatest(n1, F.lit(1))) * wide(F.greatest(n2, F.lit(1)))).otherwise(

@@ -1,0 +1 @@
+"""End-to-end comparisons and the reports made from them."""

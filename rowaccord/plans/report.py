@@ -143,7 +143,9 @@ def write_changes(diff: Diff, path: str, fmt: str = "csv") -> None:
     changes = diff.changes().drop("changed", "changed_raw") if fmt == "csv" else diff.changes()
     writer = changes.write.mode("errorifexists")
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"').option("emptyValue", '""')
+        # Blanks around a value are part of it: they may be the very change.
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer = writer.options(header=True, escape='"', emptyValue='""', **blanks)
     writer.format(fmt).save(path)
 
 

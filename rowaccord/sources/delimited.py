@@ -76,10 +76,18 @@ def _starts_with_utf8_mark(spark: SparkSession, path: str) -> bool:
         stream.close()
 
 
+def _reader_encoding(spark: SparkSession, encoding: str) -> str:
+    """The reader's name of an encoding; windows-1252 has to be allowed in the session first."""
+    if encoding == "cp1252":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return READER_ENCODINGS[encoding]
+
+
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Whole lines as ``value``, decoded: a CSV scan with a separator that no file has."""
     reader = spark.read.schema("value string").option("sep", _NO_NULL_TEXT).option("quote", "")
-    return reader.option("encoding", READER_ENCODINGS[encoding]).option("multiLine", encoding.startswith("utf-16")).csv(path)
+    reader = reader.option("encoding", _reader_encoding(spark, encoding))
+    return reader.option("multiLine", encoding.startswith("utf-16")).csv(path)
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
@@ -105,16 +113,13 @@ def read_text_table(spark: SparkSession, path: str, sep: str, encoding: str) ->
     An empty cell is null and ``""`` an empty text; short rows are padded with nulls.
     UTF-16 lines cannot be split bytewise, so such a file is read by one task.
     """
-    wide = encoding.startswith("utf-16")
-    if encoding == "cp1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     options = {
         "header": True,
         "sep": sep,
-        "encoding": READER_ENCODINGS[encoding],
+        "encoding": _reader_encoding(spark, encoding),
         "nullValue": _NO_NULL_TEXT,
         "escape": '"',
-        "multiLine": wide,
+        "multiLine": encoding.startswith("utf-16"),
         "mode": "PERMISSIVE",
     }
     return spark.read.options(**options).csv(path)

@@ -12,7 +12,10 @@ from ..functions import parsing, text
 from ..functions.names import chunks, lit, quote
 from .keys import key_nulls, validate_key
 from .profile import TYPE_LABELS, profile_columns, profile_types
-from .schema import compare_schemas, schema_score
+from .schema import schema_facts
+
+# Rows of a table, rows beyond the first of each key, rows with a null in the key.
+KeyCounts = tuple[int, int, int]
 
 SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")
 
@@ -113,46 +116,38 @@ def profile_checks(profile: DataFrame, config: ValidationConfig | None = None) -
     return first.select(F.expr(f"inline(array_compact({entries}))"))
 
 
-def key_checks(df: DataFrame, keys: Sequence[str], config: ValidationConfig | None = None) -> DataFrame:
-    """Duplicate and null key checks over the full table; no row when all is well."""
+def key_checks(
+    df: DataFrame, keys: Sequence[str], config: ValidationConfig | None = None, counts: KeyCounts | None = None
+) -> DataFrame:
+    """Duplicate and null key checks over the full table; no row when all is well.
+
+    ``counts`` from an earlier key scan saves scanning the keys again.
+    """
     config = config or ValidationConfig()
-    names = lit(",".join(keys))
-    shown = lit(", ".join(keys))
-    limit = config.duplicate_key_warn_threshold
-    duplicates = (
-        validate_key(df, keys)
-        .where("duplicate_rows > 0")
-        .selectExpr(
-            "inline(array("
-            + _check(
-                5,
-                "'Duplicate Keys'",
-                f"CASE WHEN duplicate_rows > {limit} THEN 'CRITICAL' ELSE 'WARNING' END",
-                f"concat('key (', {shown}, ') repeats in ', duplicate_rows, ' rows; join counts will be inflated')",
-                names,
-                "duplicate_rows",
-            )
-            + "))"
-        )
+    if counts is None:
+        found = validate_key(df, keys).join(key_nulls(df, keys), "total_rows")
+    else:
+        found = df.sparkSession.createDataFrame([counts], "total_rows bigint, duplicate_rows bigint, null_key_rows bigint")
+    names, shown = lit(",".join(keys)), lit(", ".join(keys))
+    duplicates = _check(
+        5,
+        "'Duplicate Keys'",
+        f"CASE WHEN duplicate_rows > {config.duplicate_key_warn_threshold} THEN 'CRITICAL' ELSE 'WARNING' END",
+        f"concat('key (', {shown}, ') repeats in ', duplicate_rows, ' rows; join counts will be inflated')",
+        names,
+        "duplicate_rows",
     )
-    nulls = (
-        key_nulls(df, keys)
-        .where("null_key_rows > 0")
-        .selectExpr(
-            "inline(array("
-            + _check(
-                6,
-                "'Key Column Nulls'",
-                "'WARNING'",
-                f"concat('key (', {shown}, ') has nulls in ', null_key_rows, ' rows (', "
-                f"{_percent('null_key_rows / total_rows')}, '); they match no row')",
-                names,
-                "null_key_rows",
-            )
-            + "))"
-        )
+    nulls = _check(
+        6,
+        "'Key Column Nulls'",
+        "'WARNING'",
+        f"concat('key (', {shown}, ') has nulls in ', null_key_rows, ' rows (', "
+        f"{_percent('null_key_rows / greatest(total_rows, 1)')}, '); they match no row')",
+        names,
+        "null_key_rows",
     )
-    return duplicates.unionAll(nulls)
+    entries = f"CASE WHEN duplicate_rows > 0 THEN {duplicates} END, CASE WHEN null_key_rows > 0 THEN {nulls} END"
+    return found.select(F.expr(f"inline(array_compact(array({entries})))"))
 
 
 def rule_checks(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
@@ -266,18 +261,13 @@ def _rule_tests(df: DataFrame, r: ColumnRule) -> list[tuple[str, str | None]]:
 
 def schema_drift_checks(df1: DataFrame, df2: DataFrame) -> DataFrame:
     """A WARNING per table that has columns the other lacks; ``table_no`` says which."""
-    lists = compare_schemas(df1, df2).groupBy().agg(
-        F.expr("array_sort(collect_list(CASE WHEN status = 'only_in_1' THEN name END))").alias("only_1"),
-        F.expr("array_sort(collect_list(CASE WHEN status = 'only_in_2' THEN name END))").alias("only_2"),
-    )
-
-    def drift(n: int) -> DataFrame:
-        check = _check(
-            8, "'Schema Drift'", "'WARNING'", f"concat('columns only in table {n}: ', array_join(only_{n}, ', '))"
-        )
-        return lists.where(f"size(only_{n}) > 0").selectExpr(f"{n} AS table_no", f"inline(array({check}))")
-
-    return drift(1).unionAll(drift(2))
+    facts = schema_facts(df1, df2)
+    rows = [
+        (n, 8, "Schema Drift", "WARNING", False, f"columns only in table {n}: {', '.join(names)}", None, None)
+        for n, names in ((1, facts.only_in_1), (2, facts.only_in_2))
+        if names
+    ]
+    return df1.sparkSession.createDataFrame(rows, f"table_no int, {CHECK_COLUMNS}")
 
 
 def checks(
@@ -285,13 +275,14 @@ def checks(
     config: ValidationConfig | None = None,
     keys: Sequence[str] | None = None,
     profile: DataFrame | None = None,
+    key_counts: KeyCounts | None = None,
 ) -> DataFrame:
-    """All checks of one table; a ready profile is used instead of profiling again."""
+    """All checks of one table; a ready profile or key scan is used instead of a new one."""
     config = config or ValidationConfig()
     profile = profile if profile is not None else profile_columns(df, samples=False)
     result = profile_checks(profile, config)
     if keys:
-        result = result.unionAll(key_checks(df, keys, config))
+        result = result.unionAll(key_checks(df, keys, config, key_counts))
     if config.business_rules:
         result = result.unionAll(rule_checks(df, config.business_rules))
     return result
@@ -306,18 +297,16 @@ def validate_pair(
     config: ValidationConfig | None = None,
     keys: Sequence[str] | None = None,
     profiles: tuple[DataFrame, DataFrame] | None = None,
+    key_counts: tuple[KeyCounts, KeyCounts] | None = None,
 ) -> DataFrame:
     """Checks of both tables and their schema drift, with ``table_no`` and the schema score."""
-    first, second = profiles or (None, None)
-    both = (
-        checks(df1, config, keys, first)
-        .select(F.lit(1).alias("table_no"), "*")
-        .unionAll(checks(df2, config, keys, second).select(F.lit(2).alias("table_no"), "*"))
-        .unionAll(schema_drift_checks(df1, df2))
-    )
-    # One row of score, known to be a single row.
-    score = schema_score(df1, df2).select("score").first()[0]
-    return both.withColumn("compatibility_score", F.lit(score))
+    parts = []
+    for n, df in enumerate((df1, df2)):
+        profile = profiles[n] if profiles else None
+        found = checks(df, config, keys, profile, key_counts[n] if key_counts else None)
+        parts.append(found.select(F.lit(n + 1).alias("table_no"), "*"))
+    both = parts[0].unionAll(parts[1]).unionAll(schema_drift_checks(df1, df2))
+    return both.withColumn("compatibility_score", F.lit(schema_facts(df1, df2).score))
 
 
 def check_summary(check_table: DataFrame) -> DataFrame:

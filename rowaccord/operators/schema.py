@@ -1,8 +1,12 @@
-"""Comparing column lists, and mapping the names of table 2 onto table 1."""
+"""Comparing column lists, and mapping the names of table 2 onto table 1.
+
+Schemas are known to the driver, so these operators start no job on the tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +18,6 @@ POINTS_REORDERED = 5
 POINTS_TYPE_MISMATCH = 3
 RENAME_SIMILARITY = 0.7
 
-SCHEMA_COLUMNS = "name string, position int, dtype string"
-
 
 def normalize_map(column_map: Sequence[Mapping[str, str]] | Mapping[str, str] | None) -> dict[str, str]:
     """``{name in table 2: name in table 1}`` from a list of ``{"f1", "f2"}`` or a mapping f2 → f1.
@@ -45,10 +47,38 @@ def apply_column_map(
     return df2.toDF(*names)
 
 
-def schema_table(df: DataFrame) -> DataFrame:
-    """``name, position, dtype`` of a table."""
-    rows = [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, SCHEMA_COLUMNS)
+@dataclass(frozen=True)
+class SchemaFacts:
+    """The comparison of two column lists, from the schemas alone."""
+
+    only_in_1: list[str]
+    only_in_2: list[str]
+    in_both: list[str]
+    type_mismatches: int
+    reordered: bool
+
+    @property
+    def score(self) -> float:
+        points = (
+            len(self.only_in_1) * POINTS_ONLY_IN_1
+            + len(self.only_in_2) * POINTS_ONLY_IN_2
+            + (POINTS_REORDERED if self.reordered else 0)
+            + self.type_mismatches * POINTS_TYPE_MISMATCH
+        )
+        return max(0.0, 100.0 - points)
+
+
+def schema_facts(df1: DataFrame, df2: DataFrame) -> SchemaFacts:
+    set_1, set_2 = set(df1.columns), set(df2.columns)
+    types_1, types_2 = dict(df1.dtypes), dict(df2.dtypes)
+    both = sorted(set_1 & set_2)
+    return SchemaFacts(
+        only_in_1=sorted(set_1 - set_2),
+        only_in_2=sorted(set_2 - set_1),
+        in_both=both,
+        type_mismatches=sum(types_1[c] != types_2[c] for c in both),
+        reordered=[c for c in df1.columns if c in set_2] != [c for c in df2.columns if c in set_1],
+    )
 
 
 def compare_schemas(df1: DataFrame, df2: DataFrame) -> DataFrame:
@@ -57,32 +87,24 @@ def compare_schemas(df1: DataFrame, df2: DataFrame) -> DataFrame:
     ``status`` is ``both``, ``only_in_1`` or ``only_in_2``. ``moved`` tells whether a shared
     column has another place among the shared columns.
     """
-    shared_1 = [c for c in df1.columns if c in set(df2.columns)]
-    shared_2 = [c for c in df2.columns if c in set(df1.columns)]
-    spark = df1.sparkSession
-    moved = [(x, shared_2.index(x) != i) for i, x in enumerate(shared_1)]
-    ranks = spark.createDataFrame(moved, "name string, moved boolean")
-    one = schema_table(df1).select("name", F.col("position").alias("position_1"), F.col("dtype").alias("dtype_1"))
-    two = schema_table(df2).select("name", F.col("position").alias("position_2"), F.col("dtype").alias("dtype_2"))
-    status = (
-        F.when(F.col("position_2").isNull(), F.lit("only_in_1"))
-        .when(F.col("position_1").isNull(), F.lit("only_in_2"))
-        .otherwise(F.lit("both"))
-    )
-    return (
-        one.join(two, "name", "full")
-        .join(ranks, "name", "left")
-        .select(
-            "name",
-            status.alias("status"),
-            "position_1",
-            "position_2",
-            "dtype_1",
-            "dtype_2",
-            F.when(status == "both", F.col("dtype_1") == F.col("dtype_2")).alias("same_type"),
-            "moved",
+    place_1 = {c: i for i, c in enumerate(df1.columns)}
+    place_2 = {c: i for i, c in enumerate(df2.columns)}
+    types_1, types_2 = dict(df1.dtypes), dict(df2.dtypes)
+    rank_1 = {c: i for i, c in enumerate(c for c in df1.columns if c in place_2)}
+    rank_2 = {c: i for i, c in enumerate(c for c in df2.columns if c in place_1)}
+    rows = []
+    for name in sorted({*place_1, *place_2}):
+        status = "both" if name in rank_1 else "only_in_1" if name in place_1 else "only_in_2"
+        same, moved = None, None
+        if status == "both":
+            same, moved = types_1[name] == types_2[name], rank_1[name] != rank_2[name]
+        rows.append(
+            (name, status, place_1.get(name), place_2.get(name), types_1.get(name), types_2.get(name), same, moved)
         )
-        .orderBy("name")
+    return df1.sparkSession.createDataFrame(
+        rows,
+        "name string, status string, position_1 int, position_2 int, dtype_1 string, dtype_2 string, "
+        "same_type boolean, moved boolean",
     )
 
 
@@ -108,18 +130,9 @@ def rename_candidates(df1: DataFrame, df2: DataFrame) -> DataFrame:
 
 def schema_score(df1: DataFrame, df2: DataFrame) -> DataFrame:
     """One row: counts of each kind of schema difference and the compatibility score (0 to 100)."""
-    counts = compare_schemas(df1, df2).agg(
-        F.count_if(F.col("status") == "only_in_1").alias("only_in_1"),
-        F.count_if(F.col("status") == "only_in_2").alias("only_in_2"),
-        F.count_if(F.col("status") == "both").alias("in_both"),
-        F.count_if(F.col("same_type") == F.lit(False)).alias("type_mismatches"),
-        F.coalesce(F.bool_or("moved"), F.lit(False)).alias("reordered"),
-    )
-    score = (
-        F.lit(100.0)
-        - F.col("only_in_1") * POINTS_ONLY_IN_1
-        - F.col("only_in_2") * POINTS_ONLY_IN_2
-        - F.when(F.col("reordered"), F.lit(POINTS_REORDERED)).otherwise(F.lit(0))
-        - F.col("type_mismatches") * POINTS_TYPE_MISMATCH
+    f = schema_facts(df1, df2)
+    row = (len(f.only_in_1), len(f.only_in_2), len(f.in_both), f.type_mismatches, f.reordered, f.score)
+    return df1.sparkSession.createDataFrame(
+        [row],
+        "only_in_1 bigint, only_in_2 bigint, in_both bigint, type_mismatches bigint, reordered boolean, score double",
     )
-    return counts.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))

@@ -92,7 +92,11 @@ class Comparison:
         return profile_columns(self.df1), profile_columns(self.df2)
 
     def checks(self) -> DataFrame:
-        return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, self.profiles)
+        """All checks; the keys were counted for the diff already."""
+        k = self.diff.check
+        counts = (k.rows_1, k.duplicates_1, k.null_rows_1), (k.rows_2, k.duplicates_2, k.null_rows_2)
+        plain = profile_columns(self.df1, samples=False), profile_columns(self.df2, samples=False)
+        return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, plain, counts)
 
     def check_summary(self) -> DataFrame:
         return check_summary(self.checks())

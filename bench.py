@@ -19,8 +19,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 import rowaccord as ra  # noqa: E402
+from rowaccord.functions.storage import new_path  # noqa: E402
 from verification import snapshots as s  # noqa: E402
-from verification.registry import LINE_KEYS, QUERIES, scratch  # noqa: E402
+from verification.registry import LINE_KEYS, QUERIES  # noqa: E402
 
 HEADLINE = (
     "diff_counts",
@@ -46,7 +47,7 @@ def compare_lineitem(spark: SparkSession, folder: str) -> None:
     s.load(spark, folder, "lineitem")
     one, two = spark.table("lineitem"), spark.sql(s.LINEITEM_2)
     c = ra.compare(one, two, keys=LINE_KEYS, rules=ra.IgnoreRules(case=True, whitespace=True))
-    changed = c.diff.stored(scratch(spark, "bench-changes"))
+    changed = c.diff.stored(new_path(spark, "bench-changes"))
     changed.statistics().collect()
     c.checks().collect()
 

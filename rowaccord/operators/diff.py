@@ -32,6 +32,7 @@ from ..functions.compare import (
     IgnoreRules,
 )
 from ..functions.names import col, lit, require_distinct_names
+from ..functions.storage import written
 from .keys import KeyCheck, any_null, check_keys, counter, key_columns, key_names, none_null, rows_per_key
 from .schema import apply_column_map
 
@@ -108,10 +109,6 @@ class Diff:
         )
         return one, two
 
-    @cached_property
-    def _key_counts(self) -> DataFrame:
-        return rows_per_key(self.df1, self.df2, self.spec.keys).where(none_null(self.keys))
-
     @property
     def _hot_limit(self) -> int:
         """Row count from which a key is hot: at most ``MOST_HOT_KEYS`` keys can pass it."""
@@ -121,21 +118,28 @@ class Diff:
     def _has_hot_keys(self) -> bool:
         return max(self.check.most_rows_1, self.check.most_rows_2) > self._hot_limit
 
-    @cached_property
-    def _hot_keys(self) -> DataFrame:
-        return self._key_counts.where(F.greatest("rows_1", "rows_2") > self._hot_limit)
-
     @property
     def _has_factored_keys(self) -> bool:
         return self.check.crowded_keys > 0 or (self._has_hot_keys and self.check.repeated_on_both > 0)
 
-    @property
-    def _is_factored(self) -> Column:
-        """Keys whose pairs are counted but not formed: crowded on both sides, or hot and repeated."""
-        return F.expr(
-            f"least(rows_1, rows_2) > {self.spec.paired_rows} "
-            f"OR (least(rows_1, rows_2) > 1 AND greatest(rows_1, rows_2) > {self._hot_limit})"
+    @cached_property
+    def _special_keys(self) -> DataFrame:
+        """Counts of the hot and the factored keys, written once for all joins that need them."""
+        hot = f"greatest(rows_1, rows_2) > {self._hot_limit}"
+        crowded = f"least(rows_1, rows_2) > {self.spec.paired_rows}"
+        counts = rows_per_key(self.df1, self.df2, self.spec.keys).where(none_null(self.keys))
+        special = counts.where(f"{hot} OR {crowded}").selectExpr(
+            "*", f"{hot} AS hot", f"{crowded} OR ({hot} AND least(rows_1, rows_2) > 1) AS factored"
         )
+        return written(special, "special-keys")
+
+    @property
+    def _hot_keys(self) -> DataFrame:
+        return self._special_keys.where("hot")
+
+    @property
+    def _cool_factored_keys(self) -> DataFrame:
+        return self._special_keys.where("factored AND NOT hot")
 
     def _without_hot(self, side: DataFrame) -> DataFrame:
         if not self._has_hot_keys:
@@ -159,11 +163,11 @@ class Diff:
             two = two.where(none_null(self.keys))
 
         cool_1, cool_2 = self._without_hot(one), self._without_hot(two)
-        if self._has_factored_keys:
-            # Same hash partitioning as the join that follows, so no further shuffle of the sides.
-            paired = self._without_hot(self._key_counts.where(~self._is_factored)).select(*self.keys)
-            cool_1 = cool_1.join(paired, self.keys, "left_semi")
-            cool_2 = cool_2.join(paired, self.keys, "left_semi")
+        if self.check.crowded_keys:
+            # A long list of keys is joined on the hash partitioning of the join that follows.
+            factored = self._cool_factored_keys.select(*self.keys)
+            cool_1 = cool_1.join(factored, self.keys, "left_anti")
+            cool_2 = cool_2.join(factored, self.keys, "left_anti")
         parts.insert(0, cool_1.join(cool_2, self.keys, "full"))
 
         if self._has_hot_keys:
@@ -376,13 +380,13 @@ class Diff:
 
     def _factored_sides(self) -> tuple[DataFrame, DataFrame]:
         """Rows of both sides whose key has many rows on either side."""
-        cool = self._without_hot(self._key_counts.where(self._is_factored)).select(*self.keys)
+        cool = self._cool_factored_keys.select(*self.keys)
 
         def rows(side: DataFrame) -> DataFrame:
             side = side.where(none_null(self.keys))
             found = self._without_hot(side).join(cool, self.keys, "left_semi")
             if self._has_hot_keys:
-                found = found.unionAll(self._only_hot(side, F.least("rows_1", "rows_2") > 1))
+                found = found.unionAll(self._only_hot(side, F.col("factored")))
             return found
 
         one, two = self._sides
@@ -485,8 +489,8 @@ class Diff:
         meaning = contents.groupBy(*self.keys, "sem").agg(F.sum("n2").alias("_equal2"))
 
         # Totals come back by join: a window over the key would hold a hot key in one task.
-        counts = self._without_hot(self._key_counts).select(*self.keys, F.col("rows_2").alias("_all2"))
-        totals = self._without_hot(contents).join(counts, self.keys)
+        counts = self._cool_factored_keys.select(*self.keys, F.col("rows_2").alias("_all2"))
+        totals = contents.join(counts, self.keys)
         if self._has_hot_keys:
             hot = self._hot_keys.select(*self.keys, F.col("rows_2").alias("_all2"))
             totals = totals.unionByName(contents.join(F.broadcast(hot), self.keys))

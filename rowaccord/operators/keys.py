@@ -212,20 +212,53 @@ def _null_counts(df: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _measure(df: DataFrame, groups: list[tuple[str, ...]]) -> list[tuple[tuple[str, ...], int, int, int]]:
-    """One small row per column group: (columns, rows, distinct, rows with a null)."""
-    rows = _null_counts(df, groups).join(_distinct_counts(df, groups), "candidate").collect()
-    return [(groups[r.candidate], r.total_rows, r.distinct_count, r.null_rows) for r in sorted(rows)]
+# Relative error of estimated distinct counts, and the estimated ratio from which a
+# group is counted exactly; it is far enough below the unique ratio for that error.
+ESTIMATE_ERROR = 0.02
+ESTIMATE_RATIO = 0.9
+
+
+def _estimates(df: DataFrame, groups: list[tuple[str, ...]]) -> list[int]:
+    """Estimated distinct rows of each group from one scan per forty groups, without a shuffle."""
+    found: list[int] = []
+    for part in chunks(groups, 40):
+        sketches = [
+            F.approx_count_distinct(F.xxhash64(*[col(c) for c in g]), ESTIMATE_ERROR).alias(str(i))
+            for i, g in enumerate(part)
+        ]
+        found += list(df.agg(*sketches).first())
+    return found
 
 
-def discover_keys(df: DataFrame, max_columns: int = 3, sample_rows: int | None = None) -> DataFrame:
+def _measure(
+    df: DataFrame, groups: list[tuple[str, ...]], exact: bool
+) -> list[tuple[tuple[str, ...], int, int, int]]:
+    """One small row per column group: (columns, rows, distinct, rows with a null)."""
+    counts = {r.candidate: (r.total_rows, r.null_rows) for r in _null_counts(df, groups).collect()}
+    distinct: dict[int, int] = {}
+    finalists = list(range(len(groups)))
+    if not exact:
+        estimates = _estimates(df, groups)
+        distinct = {i: min(n, counts[i][0]) for i, n in enumerate(estimates)}
+        finalists = [i for i in finalists if distinct[i] >= ESTIMATE_RATIO * counts[i][0]]
+    if finalists:
+        for r in _distinct_counts(df, [groups[i] for i in finalists]).collect():
+            distinct[finalists[r.candidate]] = r.distinct_count
+    return [(g, counts[i][0], distinct[i], counts[i][1]) for i, g in enumerate(groups)]
+
+
+def discover_keys(
+    df: DataFrame, max_columns: int = 3, sample_rows: int | None = None, exact: bool = True
+) -> DataFrame:
     """Rank single columns, then pairs and triples, as row keys.
 
     A single column is unique from a distinct ratio of 0.99, a composite only when all
     rows differ. Pairs are tried when no single column is unique and triples when no pair
     is, among the five columns with the most distinct values; a group whose distinct
     counts multiply to less than the row count cannot be unique and is left out.
-    ``sample_rows`` restricts the search to a head sample, as a quick first look.
+    ``sample_rows`` restricts the search to a head sample, as a quick first look. With
+    ``exact=False`` groups that an estimate shows to be far from unique keep the estimate:
+    which keys are unique is still exact, and only their values are shuffled.
 
     Columns: ``columns, uniqueness_ratio, is_unique, null_rate, confidence, recommended``,
     best first by ``rank``. Only one row of counters per column group reaches the driver.
@@ -233,7 +266,7 @@ def discover_keys(df: DataFrame, max_columns: int = 3, sample_rows: int | None =
     spark = df.sparkSession
     if sample_rows is not None:
         df = df.limit(sample_rows)
-    singles = _measure(df, [(c,) for c in df.columns])
+    singles = _measure(df, [(c,) for c in df.columns], exact)
     total = singles[0][1] if singles else 0
     found: list[tuple[list[str], float, bool, float, float]] = []
     for group, rows, distinct, nulls in singles if total else []:
@@ -251,7 +284,7 @@ def discover_keys(df: DataFrame, max_columns: int = 3, sample_rows: int | None =
                 groups.append(group)
         if not groups:
             continue
-        for group, rows, distinct, nulls in _measure(df, groups):
+        for group, rows, distinct, nulls in _measure(df, groups, exact):
             ratio, unique = distinct / rows, distinct == rows
             confidence = COMPOSITE_CONFIDENCE if unique else ratio * COMPOSITE_CONFIDENCE
             found.append((list(group), ratio, unique, nulls / rows, confidence))

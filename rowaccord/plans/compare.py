@@ -27,6 +27,7 @@ class CompareSpec:
     ``keys`` are names of table 1; ``keys_2`` gives other names they have in table 2. Without
     keys the best unique candidate of table 1 is taken, or else its first column.
     ``preview`` compares only that share of the keys, chosen by hash on both sides alike.
+    ``exact_profiles=False`` profiles with estimated distinct counts, without a shuffle.
     """
 
     keys: Sequence[str] | None = None
@@ -36,6 +37,7 @@ class CompareSpec:
     compare_columns: Sequence[str] | None = None
     validation: ValidationConfig = field(default_factory=ValidationConfig)
     preview: float | None = None
+    exact_profiles: bool = True
 
     def full_column_map(self) -> list[dict[str, str]]:
         """The column map with the differing key names added."""
@@ -89,13 +91,15 @@ class Comparison:
 
     @cached_property
     def profiles(self) -> tuple[DataFrame, DataFrame]:
-        return profile_columns(self.df1), profile_columns(self.df2)
+        exact = self.spec.exact_profiles
+        return profile_columns(self.df1, exact=exact), profile_columns(self.df2, exact=exact)
 
     def checks(self) -> DataFrame:
         """All checks; the keys were counted for the diff already."""
         k = self.diff.check
         counts = (k.rows_1, k.duplicates_1, k.null_rows_1), (k.rows_2, k.duplicates_2, k.null_rows_2)
-        plain = profile_columns(self.df1, samples=False), profile_columns(self.df2, samples=False)
+        exact = self.spec.exact_profiles
+        plain = profile_columns(self.df1, exact=exact, samples=False), profile_columns(self.df2, exact=exact, samples=False)
         return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, plain, counts)
 
     def check_summary(self) -> DataFrame:
@@ -120,7 +124,7 @@ class Comparison:
 
 def default_keys(df: DataFrame) -> list[str]:
     """The best unique key candidate, or the first column."""
-    best = discover_keys(df).where("recommended AND is_unique").first()
+    best = discover_keys(df, exact=False).where("recommended AND is_unique").first()
     return list(best["columns"]) if best else [df.columns[0]]
 
 

@@ -6,10 +6,11 @@ import time
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import col, lit, quote
+from ..functions.names import lit, quote
+from ..operators.checks import check_summary
 from ..operators.diff import Diff
 from .compare import Comparison
 
@@ -121,23 +122,12 @@ def report_tables(c: Comparison) -> dict[str, DataFrame]:
         "schema": c.schemas(),
         "score": c.score(),
         "checks": c.checks(),
-        "check_summary": c.check_summary(),
         "sample": c.sample(),
         "before_after": c.diff.before_after(),
         "json": diff_json(c.diff),
     }
 
 
-def flat_text(df: DataFrame) -> DataFrame:
-    """Arrays and maps as JSON text, for formats that hold plain columns only."""
-    plain: list[Column] = []
-    for f in df.schema.fields:
-        c = col(f.name)
-        nested = f.dataType.typeName() in {"array", "map", "struct"}
-        plain.append(F.to_json(c).alias(f.name) if nested else c)
-    return df.select(*plain)
-
-
 def write_changes(diff: Diff, path: str, fmt: str = "csv") -> None:
     """Write all changed rows, in parallel, as a folder of files: keys, type, values 1, values 2."""
     changes = diff.changes().drop("changed", "changed_raw") if fmt == "csv" else diff.changes()
@@ -163,6 +153,8 @@ def write_report(c: Comparison, folder: str, run_id: str | None = None) -> str:
     write_changes(stored.diff, f"{base}/changes")
     for name, df in report_tables(stored).items():
         df.write.mode("errorifexists").parquet(f"{base}/{name}")
+    spark = c.df1.sparkSession
+    check_summary(spark.read.parquet(f"{base}/checks")).write.mode("errorifexists").parquet(f"{base}/check_summary")
     return base
 
 

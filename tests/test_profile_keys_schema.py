@@ -123,6 +123,15 @@ def test_discover_pairs_then_triples(spark):
     assert ra.discover_keys(df.limit(0)).count() == 0
 
 
+def test_estimates_only_settle_what_is_far_from_unique(spark):
+    df = spark.range(5000).selectExpr("id", "id % 4990 as near", "id % 70 as few", "cast(null as int) as none")
+    rows = {r["columns"][0]: r for r in ra.discover_keys(df, exact=False).collect()}
+    assert rows["id"]["uniqueness_ratio"] == 1.0 and rows["near"]["uniqueness_ratio"] == 4990 / 5000
+    assert abs(rows["few"]["uniqueness_ratio"] - 70 / 5000) < 0.002 and not rows["few"]["is_unique"]
+    pairs = df.selectExpr("int(id / 70) as a", "id % 70 as b", "few")
+    assert sorted(ra.discover_keys(pairs, exact=False).first()["columns"]) == ["a", "b"]
+
+
 def test_null_lowers_confidence(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id int")
     r = only(ra.discover_keys(df))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rowaccord as ra
+from rowaccord.functions.storage import new_path
 from rowaccord.operators.aggregates import aggregate_summary
 from rowaccord.operators.checks import profile_checks
 from rowaccord.plans.report import latest_runs
@@ -892,12 +891,6 @@ def report_json(spark):
 # ---- sources and logs -------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the folder that the cluster shares for intermediate tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/rowaccord"
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
 @query(
     "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_day, "
     "o_orderpriority from orders",
@@ -905,7 +898,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 )
 def read_delimited(spark):
     """The table written as text with an unusual delimiter, found and typed again."""
-    path = scratch(spark, "orders-text")
+    path = new_path(spark, "orders-text")
     table = spark.sql(
         "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, date_format(o_orderdate, 'yyyy-MM-dd') as o_day, "
         "o_orderpriority from orders"
@@ -917,7 +910,7 @@ def read_delimited(spark):
 @query("select 'cp1252' as encoding, 0.5::double as confidence, false as has_bom", "conversations")
 def detect_encoding(spark):
     """All turns written in a one-byte encoding; a line with a dash of that encoding at its end."""
-    path = scratch(spark, "turns-cp1252")
+    path = new_path(spark, "turns-cp1252")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     turns = spark.sql("select conv_id, turn, concat(role, ' – ', conv_id) as note from conversations")
     turns.write.option("header", True).option("encoding", "windows-1252").csv(path)
@@ -948,7 +941,7 @@ def latest_runs_of_events(spark):
 )
 def write_changes(spark):
     """All changed rows written as CSV files and read back as text."""
-    path = scratch(spark, "changes")
+    path = new_path(spark, "changes")
     ra.write_changes(orders_diff(spark, BOTH), path)
     return ra.read_delimited(spark, path, sep=",", encoding="utf-8", typed=False)
 
@@ -956,4 +949,4 @@ def write_changes(spark):
 @query(q.counts(*q.ORDERS, rule=both_rules), "orders")
 def diff_counts_stored(spark):
     """Counters from the changed rows written once, without running the join again."""
-    return orders_diff(spark, BOTH).stored(scratch(spark, "join")).counts()
+    return orders_diff(spark, BOTH).stored(new_path(spark, "join")).counts()

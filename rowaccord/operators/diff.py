@@ -47,6 +47,10 @@ SAMPLE_ROWS = 200
 HOT_KEY_ROWS = 100_000
 MOST_HOT_KEYS = 100_000
 
+# Compared columns from which counters go through a long form: one aggregate with four counters
+# per column would outgrow the JVM's compiled methods.
+WIDE_COLUMNS = 40
+
 # Rows that the rarer side of a key may have for its pairs to be joined one by one: the join
 # then has at most this many rows per input row.
 PAIRED_ROWS = 8
@@ -216,15 +220,18 @@ class Diff:
     def _counter_row(self, per_column: bool = True) -> DataFrame:
         """One row: counters per change type and, per column, of each outcome."""
         kinds = ("added", "removed", "modified", "formatting_only")
-        aggs = [F.expr(f"count_if(change_type = '{k}')").alias(k) for k in kinds]
-        for i in range(len(self.columns) if per_column else 0):
-            aggs += [
-                F.expr(f"count_if(_c{i} >= {CHANGED})").alias(f"_m{i}"),
-                F.expr(f"count_if(_c{i} = {FORMATTING})").alias(f"_f{i}"),
-                F.expr(f"count_if(_c{i} = {NULL_INTRODUCED})").alias(f"_i{i}"),
-                F.expr(f"count_if(_c{i} = {NULL_RESOLVED})").alias(f"_r{i}"),
-            ]
-        counters = self._coded.agg(*aggs)
+        if per_column and len(self.columns) > WIDE_COLUMNS:
+            counters = self._wide_counter_row(kinds)
+        else:
+            aggs = [F.expr(f"count_if(change_type = '{k}')").alias(k) for k in kinds]
+            for i in range(len(self.columns) if per_column else 0):
+                aggs += [
+                    F.expr(f"count_if(_c{i} >= {CHANGED})").alias(f"_m{i}"),
+                    F.expr(f"count_if(_c{i} = {FORMATTING})").alias(f"_f{i}"),
+                    F.expr(f"count_if(_c{i} = {NULL_INTRODUCED})").alias(f"_i{i}"),
+                    F.expr(f"count_if(_c{i} = {NULL_RESOLVED})").alias(f"_r{i}"),
+                ]
+            counters = self._coded.agg(*aggs)
         if not self._has_factored_keys:
             return counters
         both = counters.unionByName(self._factored_counter_row(per_column))
@@ -232,6 +239,40 @@ class Diff:
         total = [F.sum(c).cast("decimal(38,0)" if wide else "bigint").alias(c) for c in counters.columns]
         return both.agg(*total)
 
+    def _wide_counter_row(self, kinds: Sequence[str]) -> DataFrame:
+        """The same row for wide tables: only changed cells are counted, by column and outcome.
+
+        Cells are (position, code); position −1 holds the number of the change type.
+        """
+        slots = NULL_RESOLVED + 1
+        kind = " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(kinds, 1))
+        codes = ", ".join(f"_c{i}" for i in range(len(self.columns)))
+        cells = (
+            f"concat(array(struct(-1 AS at, CASE change_type {kind} ELSE 0 END AS code)), "
+            f"transform(array({codes}), (c, i) -> struct(i AS at, int(c) AS code)))"
+        )
+        tally = (
+            self._coded.selectExpr(f"inline(filter({cells}, x -> x.code > 0))")
+            .groupBy("at", "code")
+            .agg(F.expr("count(1)").alias("n"))
+            # At most four counters per column.
+            .groupBy()
+            .agg(F.expr(f"map_from_entries(collect_list(struct(at * {slots} + code, n)))").alias("n"))
+        )
+
+        def count(at: int, *codes: int) -> str:
+            return " + ".join(f"coalesce(try_element_at(n, {at * slots + c}), 0L)" for c in codes)
+
+        outputs = [f"{count(-1, n)} AS {k}" for n, k in enumerate(kinds, 1)]
+        for i in range(len(self.columns)):
+            outputs += [
+                f"{count(i, CHANGED, NULL_INTRODUCED, NULL_RESOLVED)} AS _m{i}",
+                f"{count(i, FORMATTING)} AS _f{i}",
+                f"{count(i, NULL_INTRODUCED)} AS _i{i}",
+                f"{count(i, NULL_RESOLVED)} AS _r{i}",
+            ]
+        return tally.selectExpr(*outputs)
+
     def _counts_of(self) -> list[Column]:
         changed = F.col("added") + F.col("removed") + F.col("modified") + F.col("formatting_only")
         confidence = F.when(F.col("added") + F.col("removed") == 0, F.lit(CONFIDENCE_MATCHED)).otherwise(

@@ -340,6 +340,21 @@ def test_generated_snapshots_with_known_injections(spark):
     assert numbers(ra.diff_counts(one, two, ["id"], rules=all_rules)) == [1000, part, part, n - 2 * part, n + 1000]
 
 
+def test_wide_tables_count_the_same(spark, monkeypatch):
+    one = spark.range(300).selectExpr("id", *[f"cast(id % {i + 2} as string) as c{i}" for i in range(50)])
+    two = spark.range(5, 310).selectExpr(
+        "id",
+        *[f"case when id % 9 = {i % 9} then null when id % 7 = 1 then concat(id % {i + 2}, ' ') "
+          f"else cast(id % {i + 2} as string) end as c{i}" for i in range(50)],
+    )
+    d = ra.diff(one, two, ["id"], rules=ra.IgnoreRules(whitespace=True))
+    wide = only(d.statistics())
+    monkeypatch.setattr("rowaccord.operators.diff.WIDE_COLUMNS", 1000)
+    assert wide == only(d.statistics())
+    assert wide["formatting_only_rows"] == 0 and wide["added_rows"] == 10
+    assert {s["null_introduced"] > 0 and s["formatting_only"] > 0 for s in wide["column_stats"]} == {True}
+
+
 def test_stored_changes_give_the_same_tables(staff, tmp_path):
     d = ra.diff(*staff, ["id"], rules=ra.IgnoreRules(case=True))
     stored = d.stored(str(tmp_path / "join"))

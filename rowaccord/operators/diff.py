@@ -6,8 +6,8 @@ view are computed after it. How the join is laid out follows from the key scan:
 * keys whose rarer side has few rows (in a clean table: one) go through a shuffled join on
   the key, whose result is linear in the input;
 * rows with a null in the key match nothing and skip the join;
-* a key with very many rows on one side is taken out of the shuffle and joined by broadcast,
-  the list of such keys having a proven size;
+* a key with very many rows on one side is taken out of that shuffle, by a broadcast list of
+  such keys with a proven length, and joined over salted partitions;
 * a key with many rows on both sides would give the product of its rows. Those pairs are
   counted exactly from value histograms, and listed as distinct contents with their number
   of copies, but never written out pair by pair.
@@ -43,9 +43,10 @@ CONFIDENCE_UNMATCHED = 0.80
 SAMPLE_ROWS = 200
 
 # A key with more rows than this leaves the shuffled join. The second number bounds how
-# many such keys there can be, and with it the size of the broadcast list.
+# many such keys there can be, and with it the length of the broadcast list of keys.
 HOT_KEY_ROWS = 100_000
-MOST_HOT_KEYS = 100_000
+MOST_HOT_KEYS = 20_000
+MOST_SALTS = 1024
 
 # Compared columns from which counters go through a long form: one aggregate with four counters
 # per column would outgrow the JVM's compiled methods.
@@ -154,6 +155,18 @@ class Diff:
         keys = self._hot_keys.where(which).select(*self.keys)
         return side.join(F.broadcast(keys), self.keys, "left_semi")
 
+    def _salted_join(self, many: DataFrame, few: DataFrame) -> DataFrame:
+        """Join hot rows with their single partner rows, each hot key spread over several tasks.
+
+        The salt of a row is the number of the partition it is read in: even, and the same
+        again when a lost task is repeated. Small partner tables are broadcast by Spark itself.
+        """
+        most = max(self.check.most_rows_1, self.check.most_rows_2)
+        salts = min(MOST_SALTS, -(-most // self._hot_limit))
+        many = many.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return many.join(few, [*self.keys, "_salt"], "inner").drop("_salt")
+
     @cached_property
     def _joined(self) -> DataFrame:
         """``_k*, _a, _b, _a*, _b*`` of all join rows, but for the factored keys."""
@@ -179,14 +192,10 @@ class Diff:
             # No partner at all: nothing to join.
             parts.append(self._only_hot(one, n2 == 0))
             parts.append(self._only_hot(two, n1 == 0))
-            # One partner: the partner rows are at most one per hot key, hence broadcast.
+            # One partner row: it is repeated for every salt, the many rows go to one salt each.
             many_1, many_2 = (n2 == 1) & (n1 >= 1), (n1 == 1) & (n2 > 1)
-            parts.append(
-                self._only_hot(one, many_1).join(F.broadcast(self._only_hot(two, many_1)), self.keys, "inner")
-            )
-            parts.append(
-                self._only_hot(two, many_2).join(F.broadcast(self._only_hot(one, many_2)), self.keys, "inner")
-            )
+            parts.append(self._salted_join(self._only_hot(one, many_1), self._only_hot(two, many_1)))
+            parts.append(self._salted_join(self._only_hot(two, many_2), self._only_hot(one, many_2)))
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
     @cached_property

@@ -52,12 +52,38 @@ def value_sets(df1: DataFrame, df2: DataFrame, pairs: Sequence[tuple[str, str]])
 
 
 def value_set_counts(df1: DataFrame, df2: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per pair: how many distinct values are only in table 1, only in table 2, in both."""
-    per_pair = value_sets(df1, df2, pairs).groupBy("pair", "f1_col", "f2_col")
-    return per_pair.agg(
-        F.expr("count_if(bucket = 'only_in_f1')").alias("only_in_f1_count"),
-        F.expr("count_if(bucket = 'only_in_f2')").alias("only_in_f2_count"),
-        F.expr("count_if(bucket = 'in_both')").alias("in_both_count"),
+    """One row per pair: how many distinct values are only in table 1, only in table 2, in both.
+
+    A pair that names a column its table lacks gives a row with ``error`` and no counts; the
+    other pairs are compared all the same. An empty pair of columns counts zero.
+    """
+    errors, good = {}, {}
+    for i, (c1, c2) in enumerate(pairs):
+        lacking = [f"table {n} has no column {c!r}" for n, c, df in ((1, c1, df1), (2, c2, df2)) if c not in df.columns]
+        if lacking:
+            errors[i] = "; ".join(lacking)
+        else:
+            good[len(good)] = i
+    names = [(i, c1, c2, errors.get(i)) for i, (c1, c2) in enumerate(pairs)]
+    listed = df1.sparkSession.createDataFrame(names, "pair int, f1_col string, f2_col string, error string")
+    buckets = ("only_in_f1", "only_in_f2", "in_both")
+    if not good:
+        return listed.selectExpr(
+            "pair", "f1_col", "f2_col", *[f"CAST(NULL AS BIGINT) AS {b}_count" for b in buckets], "error"
+        )
+    place = " ".join(f"WHEN {k} THEN {i}" for k, i in good.items())
+    counts = (
+        value_sets(df1, df2, [pairs[i] for i in good.values()])
+        .groupBy(F.expr(f"CASE pair {place} END").alias("pair"))
+        .agg(*[F.expr(f"count_if(bucket = '{b}')").alias(b) for b in buckets])
+    )
+    # One row per pair on both sides.
+    return listed.join(F.broadcast(counts), "pair", "left").selectExpr(
+        "pair",
+        "f1_col",
+        "f2_col",
+        *[f"CASE WHEN error IS NULL THEN coalesce({b}, 0L) END AS {b}_count" for b in buckets],
+        "error",
     )
 
 

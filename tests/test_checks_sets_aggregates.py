@@ -101,8 +101,19 @@ def test_value_sets(spark):
     first = ra.value_set_members(one, two, [("a", "b")], limit=1).collect()
     assert {(r["bucket"], r["value"]) for r in first} == {("only_in_f1", "x"), ("only_in_f2", "w"), ("in_both", "y")}
     assert ra.value_set_members(one, two, [("a", "b")], limit=None).count() == 4
-    with pytest.raises(ValueError, match="no such column"):
-        ra.value_set_counts(one, two, [("a", "nope")])
+    mixed = by(ra.value_set_counts(one, two, [("a", "nope"), ("n", "n")]), "f1_col")
+    assert mixed["a"]["error"] == "table 2 has no column 'nope'" and mixed["a"]["in_both_count"] is None
+    assert mixed["n"]["error"] is None and mixed["n"]["in_both_count"] == 2
+    assert only(ra.value_set_counts(one, two, [("x", "y")]))["error"].count("no column") == 2
+    assert only(ra.value_set_counts(one.limit(0), two.limit(0), [("a", "b")]))["only_in_f1_count"] == 0
+
+
+def test_rules_from_a_request():
+    assert ra.IgnoreRules.from_dict(None, ignore_case=True) == ra.IgnoreRules(case=True)
+    assert ra.IgnoreRules.from_dict({"ignore_whitespace": True}, ignore_case=True) == ra.IgnoreRules(case=True, whitespace=True)
+    assert ra.IgnoreRules.from_dict({"ignore_case": False, "normalize_dates": True, "ignore_null_vs_blank": 1}, True) == (
+        ra.IgnoreRules(date_format=True, null_vs_blank=True)
+    )
 
 
 def test_transactional_compare(spark):

@@ -742,7 +742,8 @@ def _value_sets_sql() -> str:
 @query(
     f"""select pair, f1_col, f2_col, count(*) filter (where bucket = 'only_in_f1') as only_in_f1_count,
     count(*) filter (where bucket = 'only_in_f2') as only_in_f2_count,
-    count(*) filter (where bucket = 'in_both') as in_both_count from ({_value_sets_sql()}) s group by all""",
+    count(*) filter (where bucket = 'in_both') as in_both_count, cast(null as varchar) as error
+    from ({_value_sets_sql()}) s group by pair, f1_col, f2_col""",
     "part",
 )
 def value_set_counts(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.compare import IgnoreRules
 from ..operators.checks import ValidationConfig, check_summary, validate_pair
 from ..operators.diff import Diff, DiffSpec
-from ..operators.keys import discover_keys, key_columns, key_multiplicity, key_names
+from ..operators.keys import discover_keys, key_columns, key_multiplicity
 from ..operators.profile import profile_columns
 from ..operators.schema import apply_column_map, compare_schemas, rename_candidates, schema_score
 
@@ -57,9 +57,7 @@ def preview_keys(df1: DataFrame, df2: DataFrame, keys: Sequence[str], share: flo
     left, right = key_columns(df1, df2, keys)
 
     def cut(df: DataFrame, columns: list) -> DataFrame:
-        names = key_names(len(keys))
-        slot = F.pmod(F.xxhash64(*names), F.lit(PREVIEW_SLOTS))
-        return df.select("*", *columns).where(slot < slots).drop(*names)
+        return df.where(F.pmod(F.xxhash64(*columns), F.lit(PREVIEW_SLOTS)) < slots)
 
     return cut(df1, left), cut(df2, right)
 

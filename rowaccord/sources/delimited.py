@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..functions.names import chunks, quote, require_distinct_names
+from ..functions.names import chunks, lit, quote, require_distinct_names
 
 # Delimiters looked for, in order of preference, and the number of lines looked at.
 DELIMITERS = (",", "\t", "|", ";")
@@ -107,11 +107,23 @@ def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") ->
     return best["delimiter"] if best["score"] is not None and best["score"] > 0 else DELIMITERS[0]
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+def has_quoted_newlines(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8") -> bool:
+    """Whether some cell runs over a line end: a line with a quoted cell that it does not close."""
+    quotes = "char_length(value) - char_length(translate(value, '\"', ''))"
+    opens = f"(startswith(value, '\"') OR contains(value, concat({lit(sep)}, '\"')))"
+    lines = _lines(spark, path, encoding)
+    found = lines.groupBy().agg(F.expr(f"coalesce(bool_or({opens} AND ({quotes}) % 2 = 1), false)").alias("found"))
+    return found.first()["found"]
+
+
+def read_text_table(
+    spark: SparkSession, path: str, sep: str, encoding: str, quoted_newlines: bool = False
+) -> DataFrame:
     """Delimited files with a header, all columns as text.
 
-    An empty cell is null and ``""`` an empty text; short rows are padded with nulls.
-    UTF-16 lines cannot be split bytewise, so such a file is read by one task.
+    An empty cell is null and ``""`` an empty text; short rows are padded with nulls. Files
+    in UTF-16 and files with line ends inside cells cannot be split, so that each is read by
+    one task; all others are read in splits.
     """
     options = {
         "header": True,
@@ -119,20 +131,28 @@ def read_text_table(spark: SparkSession, path: str, sep: str, encoding: str) ->
         "encoding": _reader_encoding(spark, encoding),
         "nullValue": _NO_NULL_TEXT,
         "escape": '"',
-        "multiLine": encoding.startswith("utf-16"),
+        "multiLine": quoted_newlines or encoding.startswith("utf-16"),
         "mode": "PERMISSIVE",
     }
     return spark.read.options(**options).csv(path)
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, typed: bool = True
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    encoding: str | None = None,
+    typed: bool = True,
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
     """Read delimited text; what is not given is detected from the files."""
     encoding = encoding or detect_encoding(spark, path).first()["encoding"]
     if encoding not in READER_ENCODINGS:
         raise ValueError(f"unknown encoding {encoding!r}; use one of {sorted(READER_ENCODINGS)}")
-    table = read_text_table(spark, path, sep or detect_delimiter(spark, path, encoding), encoding)
+    sep = sep or detect_delimiter(spark, path, encoding)
+    if quoted_newlines is None:
+        quoted_newlines = has_quoted_newlines(spark, path, sep, encoding)
+    table = read_text_table(spark, path, sep, encoding, quoted_newlines)
     return infer_types(table) if typed else table
 
 
@@ -175,7 +195,9 @@ def table_metadata(df: DataFrame, count: bool = True) -> DataFrame:
     columns = df.sparkSession.createDataFrame(rows, "position int, name string, dtype string")
     if not count:
         return columns
-    return columns.join(F.broadcast(df.groupBy().agg(F.count(F.lit(1)).alias("row_count"))), F.lit(True))
+    # A one-row table next to each column.
+    rows = df.groupBy().agg(F.count(F.lit(1)).alias("row_count")).withColumn("_one", F.lit(1))
+    return columns.withColumn("_one", F.lit(1)).join(F.broadcast(rows), "_one").drop("_one")
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

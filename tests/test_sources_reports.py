@@ -9,7 +9,7 @@ import pytest
 
 import rowaccord as ra
 from rowaccord.plans import report
-from rowaccord.sources.delimited import detect_delimiter, file_sizes
+from rowaccord.sources.delimited import detect_delimiter, file_sizes, has_quoted_newlines
 from rowaccord.sources.workbooks import file_types
 from tests.conftest import by, only
 
@@ -79,6 +79,16 @@ def test_quotes_in_cells(spark, tmp_path):
     assert ra.read_delimited(spark, path, sep=",").first()["a"] == 'say "hi", now'
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "latin-1"])
+def test_line_ends_in_cells(spark, tmp_path, encoding):
+    text = 'id;note;size\n1;"two\nlines; é";5\n2;plain;6" wide\n3;"say ""x""";7\n'
+    path = put(tmp_path / "f.csv", text.encode(encoding))
+    rows = {r["id"]: r for r in ra.read_delimited(spark, path, sep=";").collect()}
+    assert rows[1]["note"] == "two\nlines; é" and rows[2]["size"] == '6" wide' and rows[3]["note"] == 'say "x"'
+    inches = put(tmp_path / "g.csv", b'id;size\n1;6" wide\n')
+    assert has_quoted_newlines(spark, inches, ";") is False
+
+
 def test_metadata(spark, tmp_path):
     df = spark.range(7).selectExpr("id", "cast(id as string) as t")
     assert [tuple(r) for r in ra.table_metadata(df).orderBy("position").collect()] == [(0, "id", "bigint", 7), (1, "t", "string", 7)]

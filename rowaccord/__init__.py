@@ -31,6 +31,7 @@ from .operators.profile import (
     profile_min_max,
     profile_nulls,
     profile_parse_counts,
+    profile_quality,
     profile_samples,
     profile_types,
 )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing, text
 from ..functions.names import chunks, lit, quote
 from .keys import key_nulls, validate_key
-from .profile import TYPE_LABELS, profile_columns, profile_types
+from .profile import TYPE_LABELS, profile_quality, profile_types
 from .schema import schema_facts
 
 # Rows of a table, rows beyond the first of each key, rows with a null in the key.
@@ -68,7 +68,7 @@ def _percent(x: str) -> str:
 
 
 def profile_checks(profile: DataFrame, config: ValidationConfig | None = None) -> DataFrame:
-    """Row count, null rate, mixed type and textual null checks from a column profile."""
+    """Row count, null rate, mixed type and textual null checks from the profile of a whole table."""
     config = config or ValidationConfig()
     per_column = [
         (
@@ -279,7 +279,7 @@ def checks(
 ) -> DataFrame:
     """All checks of one table; a ready profile or key scan is used instead of a new one."""
     config = config or ValidationConfig()
-    profile = profile if profile is not None else profile_columns(df, samples=False)
+    profile = profile if profile is not None else profile_quality(df)
     result = profile_checks(profile, config)
     if keys:
         result = result.unionAll(key_checks(df, keys, config, key_counts))

@@ -96,9 +96,7 @@ class Comparison:
         """All checks; the keys were counted for the diff already."""
         k = self.diff.check
         counts = (k.rows_1, k.duplicates_1, k.null_rows_1), (k.rows_2, k.duplicates_2, k.null_rows_2)
-        exact = self.spec.exact_profiles
-        plain = profile_columns(self.df1, exact=exact, samples=False), profile_columns(self.df2, exact=exact, samples=False)
-        return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, plain, counts)
+        return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, key_counts=counts)
 
     def check_summary(self) -> DataFrame:
         return check_summary(self.checks())

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 import rowaccord as ra
 from rowaccord.functions.storage import new_path
 from rowaccord.operators.aggregates import aggregate_summary
-from rowaccord.operators.checks import profile_checks
 from rowaccord.plans.report import latest_runs
 
 from . import duckdb_sql as q
@@ -713,13 +712,23 @@ def validate_pair(spark):
     )
 
 
+@query("""select 'Row Count' as name, count(*) as affected_count from lineitem""", "lineitem")
+def checks_with_given_profile(spark):
+    profile = ra.profile_columns(spark.table("lineitem"), samples=False)
+    return ra.checks(spark.table("lineitem"), profile=profile).select("name", "affected_count")
+
+
 @query(
-    """select 'Row Count' as name, count(*) as affected_count from lineitem""",
-    "lineitem",
+    f"""select n.position, n."column", t.inferred_type, t.type_share, t.invalid_parse_count, n.total_null_variants,
+      n.null_variant_rate from ({q.null_profile(CODE_TABLE, [(c, True) for c in CODE_COLUMNS])}) n
+    join ({q.types(q.text_parse_counts(CODE_TABLE, CODE_COLUMNS))}) t using ("column")""",
+    "customer",
 )
-def profile_checks_lineitem(spark):
-    profile = ra.profile_columns(spark.table("lineitem"), samples=False)
-    return profile_checks(profile).select("name", "affected_count")
+def profile_quality(spark):
+    return ra.profile_quality(spark.sql(CODE_TABLE)).select(
+        "position", "column", "inferred_type", F.expr("type_distribution[inferred_type]").alias("type_share"),
+        "invalid_parse_count", "total_null_variants", "null_variant_rate",
+    )
 
 
 # ---- value sets, aggregates, several candidates ----------------------------------------------

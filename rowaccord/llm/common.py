@@ -77,7 +77,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = settled(e, f"{name}-edges")
     before = None
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         # Every neighbour above u now hangs on the least of u and its neighbours.
@@ -91,7 +91,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
         e = settled(e.where("u > v").distinct(), f"{name}-edges")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            break
         before = now
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

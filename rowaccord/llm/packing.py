@@ -206,13 +206,13 @@ def completions(largest: int, counts: dict[int, int], capacity: int, most_waste:
 
 
 def bin_completion(
-    counts: dict[int, int], capacity: int, nodes: int = 400, branches: int = 24
+    counts: dict[int, int], capacity: int, effort: int = 40_000, branches: int = 8
 ) -> list[tuple[Filling, int]]:
     """Fillings with their numbers of copies that use up ``counts`` in few sequences.
 
-    The search ends at a proven optimum, or after ``nodes`` expanded nodes with the best packing seen: the effort
-    depends on the number of different lengths, never on the number of documents. Every node's rest is also
-    packed by best fit, which gives the next incumbents.
+    The search ends at a proven optimum, or with the best packing seen after ``effort`` steps, a step being one
+    length of one tried filling: the effort depends on the number of different lengths, never on the number of
+    documents. Every tried filling's rest is also packed by best fit, which gives the next incumbents.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
@@ -220,8 +220,7 @@ def bin_completion(
     size = lambda plan: sum(n for _, n in plan)
     best = best_fit(counts, capacity)
     stack: list[tuple[dict[int, int], list[tuple[Filling, int]], int]] = [(counts, [], 0)]
-    while stack and size(best) > bound and nodes:
-        nodes -= 1
+    while stack and size(best) > bound and effort > 0:
         rest, done, waste = stack.pop()
         if not rest:
             continue
@@ -244,8 +243,11 @@ def bin_completion(
                     del left[x]
             plan = [*done, (filling, copies)]
             whole = plan + best_fit(left, capacity)
+            effort -= len(counts)
             if size(whole) < size(best):
                 best = whole
+            if size(best) == bound or effort <= 0:
+                return best
             stack.append((left, plan, waste + room * copies))
     return best
 

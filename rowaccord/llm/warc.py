@@ -245,8 +245,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
+    # A fixed number of tasks, since the index says nothing about the size of what it points to.
+    tasks = max(1, min(20_000, -(-index.count() // (4 * RECORDS_PER_READ))))
     block = F.floor(F.col("n") / RECORDS_PER_READ)
-    dealt = index.select("archive", "offset", "length", "n").repartition("archive", block).select("archive", "offset", "length")
+    dealt = index.select("archive", "offset", "length", "n").repartition(tasks, "archive", block).select("archive", "offset", "length")
     return dealt.mapInArrow(run, "page_id bigint, url string, type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 

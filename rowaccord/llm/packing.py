@@ -206,7 +206,7 @@ def completions(largest: int, counts: dict[int, int], capacity: int, most_waste:
 
 
 def bin_completion(
-    counts: dict[int, int], capacity: int, effort: int = 40_000, branches: int = 8
+    counts: dict[int, int], capacity: int, effort: int = 8_000, branches: int = 8
 ) -> list[tuple[Filling, int]]:
     """Fillings with their numbers of copies that use up ``counts`` in few sequences.
 

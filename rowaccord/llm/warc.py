@@ -112,10 +112,12 @@ def inflated(data: bytes) -> Iterator[bytes]:
         while used < len(view) and not stream.eof:
             chunk = view[used : used + STEP]
             used += len(chunk)
-            out = stream.decompress(chunk, STEP)
-            while out or stream.unconsumed_tail:
-                yield out
-                out = stream.decompress(stream.unconsumed_tail, STEP) if stream.unconsumed_tail else b""
+            yield stream.decompress(chunk, STEP)
+            # At the end of a member the tail is what follows it, which belongs to the next one.
+            while not stream.eof and stream.unconsumed_tail:
+                yield stream.decompress(stream.unconsumed_tail, STEP)
+        while not stream.eof and (rest := stream.decompress(b"", STEP)):
+            yield rest
         if not stream.eof:
             raise ValueError("a gzip stream ends too early")
         view = view[used - len(stream.unused_data) :]

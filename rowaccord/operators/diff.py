@@ -3,14 +3,14 @@
 One full outer join carries one copy of every compared value; the semantic and the raw
 view are computed after it. How the join is laid out follows from the key scan:
 
-* keys whose rarer side has few rows (in a clean table: one) go through a shuffled join on
-  the key, whose result is linear in the input;
+* keys that occur at most once on one side go through a shuffled join on the key, whose
+  result is linear in the input;
 * rows with a null in the key match nothing and skip the join;
 * a key with very many rows on one side is taken out of that shuffle, by a broadcast list of
   such keys with a proven length, and joined over salted partitions;
-* a key with many rows on both sides would give the product of its rows. Those pairs are
-  counted exactly from value histograms, and listed as distinct contents with their number
-  of copies, but never written out pair by pair.
+* a key that repeats on both sides would give the product of its rows. At every size it is
+  given as its distinct row contents: pairs are counted exactly from value histograms, and
+  each listed row says how many join rows it stands for, so listings and counters add up.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ CONFIDENCE_UNMATCHED = 0.80
 SAMPLE_ROWS = 200
 
 # A key with more rows than this leaves the shuffled join. The second number bounds how
-# many such keys there can be, and with it the length of the broadcast list of keys.
+# many such keys there can be, and with it the length of the broadcast list of keys. Both
+# choose a plan only; results are the same on either way.
 HOT_KEY_ROWS = 100_000
 MOST_HOT_KEYS = 20_000
 MOST_SALTS = 1024
@@ -52,10 +53,6 @@ MOST_SALTS = 1024
 # per column would outgrow the JVM's compiled methods.
 WIDE_COLUMNS = 40
 
-# Rows that the rarer side of a key may have for its pairs to be joined one by one: the join
-# then has at most this many rows per input row.
-PAIRED_ROWS = 8
-
 
 @dataclass(frozen=True)
 class DiffSpec:
@@ -66,7 +63,6 @@ class DiffSpec:
     column_map: Sequence[Mapping[str, str]] | Mapping[str, str] | None = None
     compare_columns: Sequence[str] | None = None
     hot_key_rows: int = HOT_KEY_ROWS
-    paired_rows: int = PAIRED_ROWS
 
 
 class Diff:
@@ -83,7 +79,7 @@ class Diff:
             raise ValueError("at least one key column is needed")
         self.spec = spec
         self.df1, self.df2 = df1, df2
-        self.check = check or check_keys(df1, df2, spec.keys, spec.paired_rows)
+        self.check = check or check_keys(df1, df2, spec.keys)
         self.columns = self._compared_columns()
         self.keys = key_names(len(spec.keys))
         self._stored: DataFrame | None = None
@@ -92,8 +88,10 @@ class Diff:
         in_2 = set(self.df2.columns)
         names = [c for c in self.df1.columns if c in in_2 and c not in set(self.spec.keys)]
         if self.spec.compare_columns:
-            wanted = set(self.spec.compare_columns)
-            names = [c for c in names if c in wanted]
+            unknown = sorted(set(self.spec.compare_columns) - {*names, *self.spec.keys})
+            if unknown:
+                raise ValueError(f"compare_columns that the tables do not share: {unknown}")
+            names = [c for c in names if c in set(self.spec.compare_columns)]
         return [
             ComparedColumn(n, self.df1.schema[n].dataType, self.df2.schema[n].dataType, self.spec.rules)
             for n in names
@@ -125,17 +123,15 @@ class Diff:
 
     @property
     def _has_factored_keys(self) -> bool:
-        return self.check.crowded_keys > 0 or (self._has_hot_keys and self.check.repeated_on_both > 0)
+        return self.check.repeated_on_both > 0
 
     @cached_property
     def _special_keys(self) -> DataFrame:
         """Counts of the hot and the factored keys, written once for all joins that need them."""
         hot = f"greatest(rows_1, rows_2) > {self._hot_limit}"
-        crowded = f"least(rows_1, rows_2) > {self.spec.paired_rows}"
+        factored = "least(rows_1, rows_2) > 1"
         counts = rows_per_key(self.df1, self.df2, self.spec.keys).where(none_null(self.keys))
-        special = counts.where(f"{hot} OR {crowded}").selectExpr(
-            "*", f"{hot} AS hot", f"{crowded} OR ({hot} AND least(rows_1, rows_2) > 1) AS factored"
-        )
+        special = counts.where(f"{hot} OR {factored}").selectExpr("*", f"{hot} AS hot", f"{factored} AS factored")
         return written(special, "special-keys")
 
     @property
@@ -180,7 +176,7 @@ class Diff:
             two = two.where(none_null(self.keys))
 
         cool_1, cool_2 = self._without_hot(one), self._without_hot(two)
-        if self.check.crowded_keys:
+        if self._has_factored_keys:
             # A long list of keys is joined on the hash partitioning of the join that follows.
             factored = self._cool_factored_keys.select(*self.keys)
             cool_1 = cool_1.join(factored, self.keys, "left_anti")
@@ -200,9 +196,9 @@ class Diff:
 
     @cached_property
     def _coded(self) -> DataFrame:
-        """Join rows with ``change_type`` and one outcome code ``_c*`` per compared column."""
+        """Join rows with ``change_type`` and one outcome code ``_c*`` per compared column, factored keys left out."""
         if self._stored is not None:
-            return self._stored
+            return self._stored.where("_n IS NULL")
         n = range(len(self.columns))
         codes = [
             F.expr(
@@ -348,12 +344,29 @@ class Diff:
             return first + second
         return [x for pair in zip(first, second) for x in pair]
 
+    @cached_property
+    def _listed(self) -> DataFrame:
+        """Rows of all listings: join rows, and the contents of factored keys with ``_n`` join rows each."""
+        if self._stored is not None:
+            return self._stored
+        plain = self._coded.withColumn("_n", F.lit(None).cast("decimal(38,0)"))
+        return plain.unionByName(self._factored_rows()) if self._has_factored_keys else plain
+
+    def _join_rows(self, name: str) -> Column:
+        return F.coalesce("_n", F.lit(1).cast("decimal(38,0)")).alias(name)
+
     def classified(self) -> DataFrame:
-        """Every join row: keys and ``change_type``."""
-        return self._coded.select(*self._key_output(), "change_type")
+        """Keys, ``change_type`` and ``join_rows`` of everything that was matched, added or removed.
+
+        A row stands for ``join_rows`` rows of the full outer join. That is 1, but for keys that
+        repeat on both sides: these come as distinct contents. A content of table 1 has up to one
+        row per change type, for its pairs with the rows of table 2. A content that only table 2
+        has comes with 0 join rows, since its pairs are counted where they start.
+        """
+        return self._listed.select(*self._key_output(), "change_type", self._join_rows("join_rows"))
 
     def _changed(self) -> DataFrame:
-        return self._coded.where(F.col("change_type") != "unchanged")
+        return self._listed.where(F.col("change_type") != "unchanged")
 
     def _check_output(self, df: DataFrame) -> DataFrame:
         require_distinct_names(df)
@@ -363,7 +376,9 @@ class Diff:
         """All changed rows: keys, ``_change_type``, lists of changed columns, raw values of both sides.
 
         ``changed`` names the columns with a semantic change, ``changed_raw`` those that
-        differ in formatting only; values are kept for added and removed rows too.
+        differ in formatting only; values are kept for added and removed rows too. Contents of
+        keys that repeat on both sides (see :meth:`classified`) have the values of their own side;
+        their lists name the columns in which any partner differs. ``_join_rows`` comes last.
         """
         return self._check_output(
             self._changed().select(
@@ -372,6 +387,7 @@ class Diff:
                 self._names_where(f">= {CHANGED}").alias("changed"),
                 self._names_where(f"= {FORMATTING}").alias("changed_raw"),
                 *self._raw_outputs("_f1", "_f2", interleaved=False),
+                self._join_rows("_join_rows"),
             )
         )
 
@@ -383,6 +399,7 @@ class Diff:
                 "change_type",
                 *self._raw_outputs("_before", "_after", interleaved=True),
                 self._names_where(f">= {CHANGED}").alias("changed"),
+                self._join_rows("_join_rows"),
             )
         )
 
@@ -412,6 +429,7 @@ class Diff:
             self._names_where(f">= {CHANGED}").alias("columns_changed"),
             values(0).alias("f1"),
             values(1).alias("f2"),
+            self._join_rows("join_rows"),
         )
 
     def stored(self, path: str) -> Diff:
@@ -429,7 +447,7 @@ class Diff:
     # ---- factored keys ----------------------------------------------------------------
 
     def _factored_sides(self) -> tuple[DataFrame, DataFrame]:
-        """Rows of both sides whose key has many rows on either side."""
+        """Rows of both sides whose key repeats on both."""
         cool = self._cool_factored_keys.select(*self.keys)
 
         def rows(side: DataFrame) -> DataFrame:
@@ -527,8 +545,107 @@ class Diff:
             aggs += [of(i, x).alias(f"_{x}{i}") for x in "mfir"]
         return per_item.agg(*aggs)
 
+    def _factored_rows(self) -> DataFrame:
+        """The contents of factored keys in the shape of ``_coded``, with ``_n`` join rows each.
+
+        Whether any partner differs in a column follows from the least and the greatest digest
+        of that column among the partners, so no pair is formed here either.
+        """
+        n = range(len(self.columns))
+
+        def side(df: DataFrame, number: int) -> DataFrame:
+            semantic, raw = self._texts(number, full_raw=True)
+            texts = [f"cast(array({', '.join(x)}) as array<string>) AS {name}" for x, name in ((semantic, "sem"), (raw, "raw"))]
+            own, other = "ab"[number], "ba"[number]
+            types = [(c.type_2 if number == 0 else c.type_1).simpleString() for c in self.columns]
+            nothing = [f"CAST(NULL AS {t}) AS _{other}{i}" for i, t in enumerate(types)]
+            return df.selectExpr(*self.keys, *texts, f"{number == 0} AS _first", *[f"_{own}{i}" for i in n], *nothing)
+
+        one, two = self._factored_sides()
+        contents = (
+            side(one, 0)
+            .unionByName(side(two, 1))
+            .groupBy(*self.keys, "sem", "raw")
+            .agg(
+                F.count_if("_first").alias("n1"),
+                F.count_if(~F.col("_first")).alias("n2"),
+                *[F.any_value(f"_{s}{i}", True).alias(f"_{s}{i}") for s in "ab" for i in n],
+            )
+        )
+
+        def digest(name: str, i: int) -> str:
+            return f"coalesce(md5({name}[{i}]), '')"
+
+        def extremes(value: str, prefix: str) -> list[Column]:
+            return [
+                F.expr(f"{f}(CASE WHEN n{s} > 0 THEN {value.format(i=i)} END) AS {prefix}_{f}{s}_{i}")
+                for i in n
+                for s in (1, 2)
+                for f in ("min", "max")
+            ]
+
+        both = "named_struct('s', coalesce(md5(sem[{i}]), ''), 'r', coalesce(md5(raw[{i}]), ''))"
+        per_key = contents.groupBy(*self.keys).agg(
+            F.sum("n1").alias("all1"), F.sum("n2").alias("all2"), *extremes(both, "k")
+        )
+        per_meaning = contents.groupBy(*self.keys, "sem").agg(
+            F.sum("n1").alias("eq1"), F.sum("n2").alias("eq2"), *extremes("coalesce(md5(raw[{i}]), '')", "m")
+        )
+        rows = contents.join(per_meaning, [*self.keys, "sem"])
+        if self._has_hot_keys:
+            # The contents of a hot key stay spread: its one row of extremes goes to every salt.
+            hot = f"greatest(all1, all2) > {self._hot_limit}"
+            cool = self._without_hot(rows).join(per_key.where(f"NOT ({hot})"), self.keys)
+            rows = cool.unionByName(self._salted_join(self._only_hot(rows, F.col("factored")), per_key.where(hot)))
+        else:
+            rows = rows.join(per_key, self.keys)
+
+        def codes(s: int, kind: str) -> str:
+            """Outcome codes against the partners on side ``s``."""
+            found = []
+            for i in n:
+                sem, raw = digest("sem", i), digest("raw", i)
+                if kind == "modified":
+                    lo, hi = f"k_min{s}_{i}", f"k_max{s}_{i}"
+                    found.append(
+                        f"CASE WHEN {lo}.s <> {sem} OR {hi}.s <> {sem} THEN {CHANGED} "
+                        f"WHEN {lo}.r <> {raw} OR {hi}.r <> {raw} THEN {FORMATTING} ELSE {SAME} END"
+                    )
+                elif kind == "formatting_only":
+                    found.append(
+                        f"CASE WHEN m_min{s}_{i} <> {raw} OR m_max{s}_{i} <> {raw} THEN {FORMATTING} ELSE {SAME} END"
+                    )
+                else:
+                    found.append(str(SAME))
+            return f"cast(array({', '.join(found)}) as array<tinyint>)"
+
+        def pairs(count: str) -> str:
+            return f"cast(cast(n1 AS decimal(19,0)) * cast({count} AS decimal(19,0)) AS decimal(38,0))"
+
+        def entry(kind: str, count: str, when: str, s: int) -> str:
+            return (
+                f"CASE WHEN {when} THEN named_struct('change_type', '{kind}', '_n', {pairs(count)}, "
+                f"'codes', {codes(s, kind)}) END"
+            )
+
+        entries = [
+            entry("unchanged", "n2", "n1 > 0 AND n2 > 0", 2),
+            entry("formatting_only", "(eq2 - n2)", "n1 > 0 AND eq2 > n2", 2),
+            entry("modified", "(all2 - eq2)", "n1 > 0 AND all2 > eq2", 2),
+            entry("modified", "0", "n1 = 0 AND all1 > eq1", 1),
+            entry("formatting_only", "0", "n1 = 0 AND all1 = eq1", 1),
+        ]
+        listed = rows.select("*", F.expr(f"inline(array_compact(array({', '.join(entries)})))"))
+        # Values of table 2 stand beside those of table 1 only where they are the same.
+        shown = "(n1 = 0 OR change_type = 'unchanged')"
+        values = [f"_a{i}" for i in n] + [f"CASE WHEN {shown} THEN _b{i} END AS _b{i}" for i in n]
+        return listed.selectExpr(
+            *self.keys, *values, "nullif(n1 > 0, false) AS _a", f"nullif({shown}, false) AS _b",
+            *[f"codes[{i}] AS _c{i}" for i in n], "change_type", "_n",
+        )
+
     def factored_contents(self) -> DataFrame:
-        """Keys with many rows on both sides, as distinct row contents with copy counts.
+        """Keys that repeat on both sides, as distinct row contents with copy counts.
 
         One row per key and distinct content: ``rows_f1`` and ``rows_f2`` copies, the raw
         ``values``, and how many of the key's join rows that start from these table-1

@@ -59,7 +59,7 @@ def diff_json(diff: Diff, sample_rows: int = JSON_SAMPLE_ROWS) -> DataFrame:
         .selectExpr(
             f"struct({place}) AS place",
             "named_struct('key', key, 'change_type', change_type, 'columns_changed', columns_changed, "
-            "'f1', f1, 'f2', f2) AS row",
+            "'f1', f1, 'f2', f2, 'join_rows', join_rows) AS row",
         )
         .groupBy()
         .agg(F.collect_list(F.struct("place", "row")).alias("entries"))

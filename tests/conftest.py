@@ -29,38 +29,28 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def staff(spark):
-    """Two snapshots of a small staff list that differ in every way a diff knows.
+def depot(spark):
+    """Two snapshots of a depot's stock, made by arithmetic, that differ in every way a diff knows.
 
-    Table 2 swaps two columns, holds pay as a float, repeats key 8, lacks key 9 and has a new key 20.
+    Table 2 swaps two columns, holds grams as a float, repeats key 16, lacks keys 4 and 11 and has 31 to 33.
     """
     before = [
-        (1, "Ada", "Moss", "Sales", 500, "2023-01-10"),
-        (2, "Ben", "Park", "Legal", 620, "2022-11-15"),
-        (3, "Cleo", "Reed", "Money", 700, "2021-06-01"),
-        (4, "Dan", "Sage", "IT", 820, "2020-09-20"),
-        (5, "Eli", "Teal", "Press", 580, "2023-03-11"),
-        (6, "Fay", "Umber", "Ops", 910, "2021-12-01"),
-        (7, "Gus", "Vale", "Money", 640, "2022-01-01"),
-        (8, "Hal", "West", "Legal", 610, "2021-07-14"),
-        (9, "Ivy", "Yew", "Sales", 540, "2023-02-22"),
-        (10, "Jo", "Zane", "IT", 880, "2020-05-18"),
+        (i, f"bolt {i}", f"bay {i % 5}", ("steel", "brass", "zinc")[i % 3], 40 * i + 7, f"2019-{1 + i % 12:02}-{3 + i:02}")
+        for i in range(1, 17)
     ]
-    after = [
-        (1, "Moss", "Ada", "Sales", 550.0, "2023-01-10"),  # pay changed
-        (2, "Park", "Ben", "Legal", 620.0, "2022-11-15"),  # pay as float only
-        (3, "Reed", " Cleo ", "Money", 700.0, "2021-06-01"),  # blanks
-        (4, "Sage", "Dan", "it", 820.0, "2020-09-20"),  # case
-        (5, "Teal", "Eli", "Press", 580.0, "03/11/2023"),  # date layout
-        (6, "Umber", "Fay", "Ops", None, "2021-12-01"),  # pay lost
-        (7, "Vail", "Gus", "Money", 640.0, "2022-01-01"),  # name changed
-        (8, "West", "Hal", "Legal", 610.0, "2021-07-14"),
-        (10, "Zane", "Jo", "IT", 880.0, "2020-05-18"),
-        (8, "West", "Hal", "Legal", 610.0, "2021-07-14"),
-        (20, "Ash", "Kim", "Ops", 760.0, "2024-01-01"),
-    ]
-    one = spark.createDataFrame(before, "id bigint, first string, last string, team string, pay bigint, since string")
-    two = spark.createDataFrame(after, "id bigint, last string, first string, team string, pay double, since string")
+    after = {i: {"label": a, "place": b, "kind": c, "grams": float(g), "checked": d} for i, a, b, c, g, d in before}
+    del after[4], after[11]
+    after[2]["label"] = "BOLT 2"
+    after[5]["place"] = " bay 0 "
+    after[6]["checked"] = "07/09/2019"  # another layout of the same date
+    after[7]["grams"] = None
+    after[8]["grams"] += 1
+    after[9]["kind"] = "lead"
+    after |= {i: {"label": f"nut {i}", "place": "bay 9", "kind": "tin", "grams": 5.0, "checked": "2020-02-02"} for i in (31, 32, 33)}
+    order = ("place", "label", "kind", "grams", "checked")
+    rows = [(i, *[r[c] for c in order]) for i, r in [*after.items(), (16, after[16])]]
+    one = spark.createDataFrame(before, "id bigint, label string, place string, kind string, grams bigint, checked string")
+    two = spark.createDataFrame(rows, "id bigint, place string, label string, kind string, grams double, checked string")
     return one, two
 
 

@@ -12,8 +12,10 @@ import rowaccord as ra
 from tests.conftest import by, only
 
 ITEMS = "id bigint, name string, value bigint, kind string"
-A = [(1, "north", 10, "A"), (2, "south", 20, "B"), (3, "east", 30, "C"), (4, "west", 40, "D"), (5, "up", 50, "E")]
-B = [(1, "north", 15, "A"), (2, "south", 20, "b"), (3, "east", 30, "C"), (4, "west", 40, "D"), (6, "down", 60, "F")]
+A = [(i, f"room {i}", 3 * i + 1, "pqr"[i % 3]) for i in range(1, 8)]
+B = [r for r in A if r[0] not in (2, 3, 5, 6)] + [
+    (2, "room 2", 12, "r"), (5, "room 5", 16, "R"), (6, "room 6", None, "P"), (20, "hall", 0, "p"), (21, "hall", 0, "p"),
+]
 
 
 def numbers(counts):
@@ -29,12 +31,12 @@ def items(spark):
 @pytest.mark.parametrize(
     ("options", "expected"),
     [
-        ({}, [1, 1, 2, 0, 6]),
-        ({"rules": ra.IgnoreRules(case=True)}, [1, 1, 1, 1, 6]),
-        ({"compare_columns": ["value"]}, [1, 1, 1, 0, 6]),
-        ({"compare_columns": ["kind"]}, [1, 1, 1, 0, 6]),
-        ({"compare_columns": ["name"]}, [1, 1, 0, 0, 6]),
-        ({"compare_columns": ["value", "kind"]}, [1, 1, 2, 0, 6]),
+        ({}, [2, 1, 3, 0, 9]),
+        ({"rules": ra.IgnoreRules(case=True)}, [2, 1, 2, 1, 9]),
+        ({"compare_columns": ["value"]}, [2, 1, 2, 0, 9]),
+        ({"compare_columns": ["kind"]}, [2, 1, 2, 0, 9]),
+        ({"compare_columns": ["name"]}, [2, 1, 0, 0, 9]),
+        ({"compare_columns": ["value", "kind"]}, [2, 1, 3, 0, 9]),
     ],
 )
 def test_known_counts(items, options, expected):
@@ -42,21 +44,21 @@ def test_known_counts(items, options, expected):
     assert numbers(counts) == expected
     r = only(counts)
     assert r["is_full_count"] is True
-    assert (r["total_rows_f1"], r["total_rows_f2"], r["confidence_score"]) == (5, 5, 0.80)
+    assert (r["total_rows_f1"], r["total_rows_f2"], r["confidence_score"]) == (7, 8, 0.80)
 
 
 def test_column_subset_limits_statistics(items):
     stats = by(ra.diff_column_stats(*items, ["id"], compare_columns=["value"]), "column")
     assert list(stats) == ["value"]
-    assert stats["value"]["modified"] == 1
-    assert stats["value"]["change_rate"] == pytest.approx(0.2)
+    assert stats["value"]["modified"] == 2
+    assert stats["value"]["change_rate"] == pytest.approx(2 / 7)
 
 
 def test_null_value_is_not_an_absent_row(spark):
-    one = spark.createDataFrame([(1, 100), (2, 200), (3, None)], "id int, score int")
-    two = spark.createDataFrame([(1, 100), (2, 200)], "id int, score int")
-    assert numbers(ra.diff_counts(one, two, ["id"])) == [0, 1, 0, 0, 3]
-    assert numbers(ra.diff_counts(two, one, ["id"])) == [1, 0, 0, 0, 3]
+    one = spark.createDataFrame([(7, 1.5), (8, None), (9, 2.5), (12, None)], "id int, v double")
+    two = spark.createDataFrame([(9, 2.5), (7, 1.5)], "id int, v double")
+    assert numbers(ra.diff_counts(one, two, ["id"])) == [0, 2, 0, 0, 4]
+    assert numbers(ra.diff_counts(two, one, ["id"])) == [2, 0, 0, 0, 4]
 
 
 def test_null_transitions(spark):
@@ -66,42 +68,43 @@ def test_null_transitions(spark):
     assert (s["modified"], s["null_introduced"], s["null_resolved"]) == (2, 1, 1)
 
 
-def test_staff(staff):
-    counts = ra.diff_counts(*staff, ["id"])
-    assert numbers(counts) == [1, 1, 6, 4, 12]
+def test_depot(depot):
+    counts = ra.diff_counts(*depot, ["id"])
+    assert numbers(counts) == [3, 2, 6, 9, 20]
     assert only(counts)["is_full_count"] is False
     rules = ra.IgnoreRules(case=True, whitespace=True)
-    assert numbers(ra.diff_counts(*staff, ["id"], rules=rules)) == [1, 1, 4, 6, 12]
+    assert numbers(ra.diff_counts(*depot, ["id"], rules=rules)) == [3, 2, 4, 11, 20]
     dates = ra.IgnoreRules(case=True, whitespace=True, date_format=True)
-    assert numbers(ra.diff_counts(*staff, ["id"], rules=dates)) == [1, 1, 3, 7, 12]
+    assert numbers(ra.diff_counts(*depot, ["id"], rules=dates)) == [3, 2, 3, 12, 20]
 
 
-def test_changed_columns_and_values(staff):
-    changes = ra.diff_changes(*staff, ["id"], rules=ra.IgnoreRules(whitespace=True))
+def test_changed_columns_and_values(depot):
+    changes = ra.diff_changes(*depot, ["id"], rules=ra.IgnoreRules(whitespace=True))
     assert changes.columns == [
         "id", "_change_type", "changed", "changed_raw",
-        "first_f1", "last_f1", "team_f1", "pay_f1", "since_f1", "first_f2", "last_f2", "team_f2", "pay_f2", "since_f2",
+        "label_f1", "place_f1", "kind_f1", "grams_f1", "checked_f1",
+        "label_f2", "place_f2", "kind_f2", "grams_f2", "checked_f2", "_join_rows",
     ]
     rows = {r["id"]: r for r in changes.collect()}
-    assert rows[7]["changed"] == ["last"] and rows[7]["changed_raw"] == ["pay"]
-    assert rows[3]["changed"] == [] and rows[3]["changed_raw"] == ["first", "pay"]
-    assert (rows[2]["pay_f1"], rows[2]["pay_f2"]) == ("620", "620.0")
-    assert rows[9]["_change_type"] == "removed" and rows[9]["first_f1"] == "Ivy" and rows[9]["first_f2"] is None
-    assert rows[20]["_change_type"] == "added" and rows[20]["first_f2"] == "Kim"
+    assert rows[9]["changed"] == ["kind"] and rows[9]["changed_raw"] == ["grams"]
+    assert rows[5]["changed"] == [] and rows[5]["changed_raw"] == ["place", "grams"]
+    assert (rows[3]["grams_f1"], rows[3]["grams_f2"]) == ("127", "127.0")
+    assert rows[4]["_change_type"] == "removed" and rows[4]["label_f1"] == "bolt 4" and rows[4]["label_f2"] is None
+    assert rows[31]["_change_type"] == "added" and rows[31]["label_f2"] == "nut 31"
 
 
-def test_before_after_layout(staff):
-    table = ra.diff_before_after(*staff, ["id"])
-    assert table.columns[:6] == ["id", "change_type", "first_before", "first_after", "last_before", "last_after"]
+def test_before_after_layout(depot):
+    table = ra.diff_before_after(*depot, ["id"])
+    assert table.columns[:6] == ["id", "change_type", "label_before", "label_after", "place_before", "place_after"]
     assert table.where("change_type = 'unchanged'").count() == 0
 
 
-def test_sample_puts_unmatched_rows_first(staff):
-    rows = ra.diff_sample(*staff, ["id"]).collect()
-    assert [r["id"] for r in rows[:2]] == [9, 20]
-    assert [r["severity"] for r in rows[:3]] == [1.0, 1.0, 0.5]
-    assert rows[0]["f1"]["team"] == "Sales" and rows[0]["f2"] == {}
-    assert [r["id"] for r in rows[2:]] == sorted(r["id"] for r in rows[2:])
+def test_sample_puts_unmatched_rows_first(depot):
+    rows = ra.diff_sample(*depot, ["id"]).collect()
+    assert [r["id"] for r in rows[:5]] == [4, 11, 31, 32, 33]
+    assert [r["severity"] for r in rows[3:6]] == [1.0, 1.0, 0.5]
+    assert rows[0]["f1"]["kind"] == "brass" and rows[0]["f2"] == {}
+    assert [r["id"] for r in rows[5:]] == sorted(r["id"] for r in rows[5:])
 
 
 def test_key_text_of_composite_and_null_keys(spark):
@@ -115,7 +118,7 @@ def test_column_map_applies_to_keys_and_skips_unknown(items):
     one, two = items
     renamed = two.toDF("nr", "name", "amount", "kind")
     names = [{"f1": "id", "f2": "nr"}, {"f1": "value", "f2": "amount"}, {"f1": "x"}, {"f1": "y", "f2": "none"}]
-    assert numbers(ra.diff_counts(one, renamed, ["id"], column_map=names)) == [1, 1, 2, 0, 6]
+    assert numbers(ra.diff_counts(one, renamed, ["id"], column_map=names)) == [2, 1, 3, 0, 9]
     with pytest.raises(ValueError, match="several columns"):
         ra.diff_counts(one, two, ["id"], column_map=[{"f1": "value", "f2": "kind"}])
 
@@ -173,7 +176,7 @@ def test_nested_columns(spark):
     two = spark.createDataFrame([(1, [1, None], {"q": 2, "p": 1}, (1, "x")), (2, [2], {"p": 2}, (1, None))], schema)
     stats = by(ra.diff_column_stats(one, two, ["id"]), "column")
     assert [stats[c]["modified"] for c in "ams"] == [1, 1, 1]
-    assert only(ra.diff_counts(one, two, ["id"], paired_rows=0))["modified_rows"] == 1
+    assert only(ra.diff_counts(one, two, ["id"]))["modified_rows"] == 1
 
 
 def test_headers_with_dots_blanks_and_quotes(spark):
@@ -250,7 +253,7 @@ def brute_force(one, two, rule):
     return kinds, columns
 
 
-@pytest.mark.parametrize("limits", [{}, {"paired_rows": 1}, {"hot_key_rows": 5}, {"hot_key_rows": 5, "paired_rows": 2}])
+@pytest.mark.parametrize("limits", [{}, {"hot_key_rows": 1}, {"hot_key_rows": 5}, {"hot_key_rows": 20}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeated_and_hot_keys_match_brute_force(spark, seed, limits):
     rng = random.Random(seed)
@@ -280,12 +283,33 @@ def test_repeated_and_hot_keys_match_brute_force(spark, seed, limits):
             assert stat[k] == columns[stat["column"]][k], (stat["column"], k)
     assert only(d.counts())["modified_rows"] == kinds["modified"]
 
-    # Rows that are listed pair by pair, and those in factored form, add up to the same.
-    listed = Counter({r["change_type"]: r["count"] for r in d.classified().groupBy("change_type").count().collect()})
-    if d._has_factored_keys:
-        for k in ("modified", "formatting_only", "unchanged"):
-            listed[k] += int(d.factored_contents().agg(F.sum(k)).first()[0] or 0)
-    assert {k: listed[k] for k in got} == got
+    # Every listing adds up to the counters.
+    listed = d.classified().groupBy("change_type").agg(F.sum("join_rows").alias("n")).collect()
+    assert {k: 0 for k in got} | {r["change_type"]: int(r["n"]) for r in listed} == got
+    for table, kind, n in ((d.changes(), "_change_type", "_join_rows"), (d.before_after(), "change_type", "_join_rows")):
+        listed = table.groupBy(kind).agg(F.sum(n).alias("n")).collect()
+        changed = {k: v for k, v in got.items() if k != "unchanged"}
+        assert {k: 0 for k in changed} | {r[kind]: int(r["n"]) for r in listed} == changed
+
+
+@pytest.mark.parametrize(("n", "m"), [(2, 2), (8, 8), (9, 9), (100_000, 2), (100_001, 2)])
+def test_a_repeated_key_is_listed_at_every_size(spark, tmp_path, n, m):
+    one = spark.range(n).selectExpr("1 as k", "id as v", "'x' as t")
+    two = spark.range(m).selectExpr("1 as k", "-1 - id as v", "'X' as t")
+    d = ra.diff(one, two, ["k"], rules=ra.IgnoreRules(case=True))
+    assert only(d.counts())["modified_rows"] == n * m
+    stored = d.stored(str(tmp_path / "join"))
+    assert only(stored.counts())["modified_rows"] == n * m
+    for x in (d, stored):
+        changes = x.changes()
+        totals = only(changes.agg(F.count("*").alias("rows"), F.sum("_join_rows").alias("n"), F.count("v_f1"), F.count("v_f2")))
+        assert [int(v) for v in totals.values()] == [n + m, n * m, n, m]
+        assert {(tuple(r[0]), tuple(r[1])) for r in changes.select("changed", "changed_raw").distinct().collect()} == {(("v",), ("t",))}
+
+
+def test_unknown_compare_columns_are_refused(items):
+    with pytest.raises(ValueError, match="nothing"):
+        ra.diff(*items, ["id"], compare_columns=["value", "nothing"])
 
 
 def test_one_sided_hot_keys_are_listed_in_full(spark):
@@ -355,8 +379,8 @@ def test_wide_tables_count_the_same(spark, monkeypatch):
     assert {s["null_introduced"] > 0 and s["formatting_only"] > 0 for s in wide["column_stats"]} == {True}
 
 
-def test_stored_changes_give_the_same_tables(staff, tmp_path):
-    d = ra.diff(*staff, ["id"], rules=ra.IgnoreRules(case=True))
+def test_stored_changes_give_the_same_tables(depot, tmp_path):
+    d = ra.diff(*depot, ["id"], rules=ra.IgnoreRules(case=True))
     stored = d.stored(str(tmp_path / "join"))
     assert only(stored.counts()) == only(d.counts())
     assert stored.column_stats().collect() == d.column_stats().collect()

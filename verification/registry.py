@@ -58,7 +58,7 @@ def both_rules(c: str) -> str:
 
 @query(f"with {q.classified(*q.ORDERS)} select o_orderkey, change_type from j", "orders")
 def diff_classified(spark):
-    return orders_diff(spark).classified()
+    return orders_diff(spark).classified().drop("join_rows")
 
 
 @query(q.counts(*q.ORDERS), "orders")
@@ -165,7 +165,7 @@ def diff_duplicate_keys(spark):
 def diff_duplicate_keys_factored(spark):
     """The same comparison with every key that repeats on both sides counted from copies."""
     return ra.diff_counts(
-        spark.table("lineitem"), spark.sql(s.LINEITEM_2), REPEATED_KEYS, rules=CASE, paired_rows=1
+        spark.table("lineitem"), spark.sql(s.LINEITEM_2), REPEATED_KEYS, rules=CASE
     )
 
 
@@ -250,6 +250,43 @@ def diff_factored_contents(spark):
     )
 
 
+@query(
+    f"with {q.classified(*REPEATED, rule=q.lowered)} select l_linenumber, change_type, count(*) as join_rows from j group by all",
+    "lineitem",
+)
+def diff_repeated_classified(spark):
+    """All join rows of keys that repeat on both sides, added up by change type."""
+    d = ra.diff(spark.table("lineitem"), spark.sql(s.LINEITEM_2), REPEATED_KEYS, rules=CASE)
+    return d.classified().groupBy("l_linenumber", "change_type").agg(F.sum("join_rows").cast("bigint").alias("join_rows"))
+
+
+@query(
+    f"""with a as ({HOT_1}), b as ({HOT_2}),
+    x as (select l_returnflag as k, l_linenumber as p, l_linestatus as s, l_discount as d, count(*) as n from a group by all),
+    y as (select l_returnflag as k, l_linenumber as p, l_linestatus as s, l_discount as d, count(*) as n from b group by all),
+    total as (select l_returnflag as k, count(*) as n from b group by all)
+    select x.k as l_returnflag, cast(x.p as varchar) as l_linenumber_f1, x.s as l_linestatus_f1,
+      cast(x.d as varchar) as l_discount_f1, cast(null as varchar) as l_linenumber_f2,
+      cast(null as varchar) as l_linestatus_f2, cast(null as varchar) as l_discount_f2,
+      x.n * (total.n - coalesce(y.n, 0)) as join_rows
+    from x join total on total.k = x.k
+      left join y on x.k = y.k and x.p = y.p and x.s = y.s and x.d is not distinct from y.d
+    where total.n > coalesce(y.n, 0)
+    union all
+    select y.k, null, null, null, cast(y.p as varchar), y.s, cast(y.d as varchar), cast(0 as bigint)
+    from y left join x on x.k = y.k and x.p = y.p and x.s = y.s and x.d is not distinct from y.d where x.n is null""",
+    "lineitem",
+)
+def diff_hot_changes(spark):
+    """Changed contents of three keys that hold all rows."""
+    changes = ra.diff(spark.sql(HOT_1), spark.sql(HOT_2), ["l_returnflag"], hot_key_rows=1000).changes()
+    return changes.where("_change_type = 'modified'").select(
+        "l_returnflag",
+        *[f"{c}_f{i}" for i in (1, 2) for c in ("l_linenumber", *HOT_COLUMNS)],
+        F.col("_join_rows").cast("bigint").alias("join_rows"),
+    )
+
+
 @query(
     q.counts(s.ORDERS_NULL_KEYS_1, s.ORDERS_NULL_KEYS_2, ["o_orderkey"], ["o_orderstatus"], ["o_custkey"]),
     "orders",
@@ -270,7 +307,7 @@ _CHANGED_TEXTS = ", ".join(f"cast({c}_{n} as varchar) as {c}_f{n}" for n in (1,
     "orders",
 )
 def diff_changes(spark):
-    changes = orders_diff(spark, BOTH).changes()
+    changes = orders_diff(spark, BOTH).changes().drop("_join_rows")
     return changes.withColumn("changed", F.concat_ws(",", "changed")).withColumn(
         "changed_raw", F.concat_ws(",", "changed_raw")
     )
@@ -287,7 +324,7 @@ _BEFORE_AFTER = ", ".join(
     "orders",
 )
 def diff_before_after(spark):
-    return orders_diff(spark).before_after().withColumn("changed", F.concat_ws(",", "changed"))
+    return orders_diff(spark).before_after().drop("_join_rows").withColumn("changed", F.concat_ws(",", "changed"))
 
 
 @query(
@@ -953,7 +990,7 @@ def write_changes(spark):
     """All changed rows written as CSV files and read back as text."""
     path = new_path(spark, "changes")
     ra.write_changes(orders_diff(spark, BOTH), path)
-    return ra.read_delimited(spark, path, sep=",", encoding="utf-8", typed=False)
+    return ra.read_delimited(spark, path, sep=",", encoding="utf-8", typed=False).drop("_join_rows")
 
 
 @query(q.counts(*q.ORDERS, rule=both_rules), "orders")

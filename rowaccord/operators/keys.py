@@ -246,24 +246,22 @@ def _measure(
 
 
 def discover_keys(
-    df: DataFrame, max_columns: int = 3, sample_rows: int | None = None, exact: bool = True
+    df: DataFrame, max_columns: int = 3, exact: bool = True, pool: int = COMPOSITE_POOL
 ) -> DataFrame:
     """Rank single columns, then pairs and triples, as row keys.
 
     A single column is unique from a distinct ratio of 0.99, a composite only when all
     rows differ. Pairs are tried when no single column is unique and triples when no pair
-    is, among the five columns with the most distinct values; a group whose distinct
-    counts multiply to less than the row count cannot be unique and is left out.
-    ``sample_rows`` restricts the search to a head sample, as a quick first look. With
-    ``exact=False`` groups that an estimate shows to be far from unique keep the estimate:
-    which keys are unique is still exact, and only their values are shuffled.
+    is, among the ``pool`` columns with the most distinct values; a group whose distinct
+    counts multiply to less than the row count cannot be unique and is left out. With
+    ``exact=False`` groups that an estimate shows to be far from unique keep the estimate,
+    and every factor of that product is raised by the error it may have: which keys are
+    unique is still exact, and only their values are shuffled.
 
     Columns: ``columns, uniqueness_ratio, is_unique, null_rate, confidence, recommended``,
     best first by ``rank``. Only one row of counters per column group reaches the driver.
     """
     spark = df.sparkSession
-    if sample_rows is not None:
-        df = df.limit(sample_rows)
     singles = _measure(df, [(c,) for c in df.columns], exact)
     total = singles[0][1] if singles else 0
     found: list[tuple[list[str], float, bool, float, float]] = []
@@ -271,14 +269,14 @@ def discover_keys(
         ratio, null_rate = distinct / rows, nulls / rows
         found.append((list(group), ratio, ratio >= UNIQUE_RATIO, null_rate, ratio * (1.0 - null_rate)))
 
-    pool = sorted(singles, key=lambda s: -s[2])[:COMPOSITE_POOL]
-    distinct_of = {s[0][0]: s[2] for s in pool}
+    tried = sorted(singles, key=lambda s: -s[2])[:pool]
+    most = {s[0][0]: s[2] if exact else s[2] / ESTIMATE_RATIO for s in tried}
     for size in range(2, max_columns + 1):
         if not total or any(f[2] for f in found):
             break
         groups = []
-        for group in combinations([s[0][0] for s in pool], size):
-            if reduce(lambda x, y: x * y, [distinct_of[c] for c in group]) >= total:
+        for group in combinations([s[0][0] for s in tried], size):
+            if reduce(lambda x, y: x * y, [most[c] for c in group]) >= total:
                 groups.append(group)
         if not groups:
             continue
@@ -295,12 +293,12 @@ def discover_keys(
     )
 
 
-def suggest_keys(a: DataFrame, b: DataFrame, top: int = 3, sample_rows: int | None = None) -> DataFrame:
+def suggest_keys(a: DataFrame, b: DataFrame, top: int = 3) -> DataFrame:
     """The best ``top`` key candidates of both tables side by side, matched by column names."""
 
     def side(df: DataFrame, n: int) -> DataFrame:
         return (
-            discover_keys(df, sample_rows=sample_rows)
+            discover_keys(df)
             .where(F.col("rank") <= top)
             .select(
                 "columns",

@@ -18,7 +18,7 @@ JSON_SAMPLE_ROWS = 100
 
 RUN_COLUMNS = (
     "job_id string, run_type string, table1 string, table2 string, started_at timestamp, "
-    "duration_s double, status string, summary string, deleted boolean"
+    "duration_s double, status string, summary string, deleted boolean, logged_at timestamp"
 )
 
 
@@ -174,25 +174,32 @@ def append_run(
     started_at: float | None = None,
     deleted: bool = False,
 ) -> None:
-    """Append one run to the log; a later entry with the same id replaces an earlier one."""
+    """Append one run to the log; the entry that is written last replaces earlier ones with the same id."""
     started = started_at if started_at is not None else time.time()
-    values = [(job_id, run_type, table1, table2, started, round(duration_s, 2), status, dict(summary or {}), deleted)]
+    values = [
+        (job_id, run_type, table1, table2, started, round(duration_s, 2), status, dict(summary or {}), deleted, time.time())
+    ]
     schema = (
         "job_id string, run_type string, table1 string, table2 string, started double, duration_s double, "
-        "status string, summary map<string,string>, deleted boolean"
+        "status string, summary map<string,string>, deleted boolean, logged double"
     )
-    texts = [(*v[:7], {k: str(x) for k, x in v[7].items()}, v[8]) for v in values]
+    texts = [(*v[:7], {k: str(x) for k, x in v[7].items()}, *v[8:]) for v in values]
     row = spark.createDataFrame(texts, schema)
     row.selectExpr(
         "job_id", "run_type", "table1", "table2", "timestamp_micros(bigint(started * 1000000)) AS started_at",
         "duration_s", "status", "to_json(summary) AS summary", "deleted",
+        "timestamp_micros(bigint(logged * 1000000)) AS logged_at",
     ).write.mode("append").parquet(path)
 
 
 def current_runs(log: DataFrame) -> DataFrame:
-    """The latest entry of each run id, deleted ones left out."""
-    fields = [c for c in log.columns if c != "job_id"]
-    newest = F.max_by(F.struct(*fields), F.struct("started_at", "deleted")).alias("r")
+    """The entry of each run id that was written last, deleted ones left out.
+
+    Logs without ``logged_at`` fall back to the start of the run.
+    """
+    fields = [c for c in log.columns if c not in ("job_id", "logged_at")]
+    order = [c for c in ("logged_at", "started_at", "deleted") if c in log.columns]
+    newest = F.max_by(F.struct(*fields), F.struct(*order)).alias("r")
     return log.groupBy("job_id").agg(newest).select("job_id", "r.*").where(~F.col("deleted")).drop("deleted")
 
 
@@ -220,6 +227,6 @@ def clear_runs(spark: SparkSession, path: str) -> None:
     marks = runs.select(
         "job_id", "run_type", "table1", "table2",
         F.current_timestamp().alias("started_at"), "duration_s", F.lit("deleted").alias("status"), "summary",
-        F.lit(True).alias("deleted"),
+        F.lit(True).alias("deleted"), F.current_timestamp().alias("logged_at"),
     )
     marks.write.mode("append").parquet(path)

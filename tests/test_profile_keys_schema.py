@@ -113,6 +113,12 @@ def test_discover_single_key(spark):
     assert sum(r["recommended"] for r in rows) == 1
 
 
+@pytest.mark.parametrize("n", [200, 300, 700])
+def test_estimates_lose_no_composite_key(spark, n):
+    grid = spark.range(n * n).selectExpr("'x' as fixed", f"id div {n} as store", f"id % {n} as day")
+    assert sorted(ra.discover_keys(grid, exact=False).first()["columns"]) == ["day", "store"]
+
+
 def test_discover_pairs_then_triples(spark):
     rows = [(a, b, c) for a in range(3) for b in range(3) for c in range(3)]
     df = spark.createDataFrame(rows, "a int, b int, c int")

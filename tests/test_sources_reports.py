@@ -219,6 +219,8 @@ def test_run_log(spark, tmp_path):
     assert [r["job_id"] for r in runs] == ["a", "c", "b"]
     assert json.loads(runs[0]["summary"]) == {"added": "3"} and runs[0]["duration_s"] == 1.23
     assert len(report.latest_runs(report.read_runs(spark, log), 2).collect()) == 2
+    report.append_run(spark, log, "b", "compare", "t1", "t2", 2.0, "late", started_at=1.0)
+    assert report.get_run(report.read_runs(spark, log), "b").first()["status"] == "late"
     report.delete_run(spark, log, "c")
     assert report.get_run(report.read_runs(spark, log), "c").count() == 0
     assert only(report.get_run(report.read_runs(spark, log), "b"))["table1"] == "t1"

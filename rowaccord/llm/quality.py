@@ -143,9 +143,14 @@ def labelled_sample(
         labels["doc_id"].alias("lid"), F.col(label_col).cast("int").alias("y")
     )
     texts = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text")).where("text is not null")
-    # Only ids and lengths are joined and ordered before the sample is known.
-    pool = texts.where(F.length("text") <= most_chars).join(known, F.col("id") == F.col("lid"))
-    chosen = pool.select("text", "y", F.xxhash64("id").alias("h")).orderBy("h", "text", "y").limit(most_rows)
+    short = texts.where(F.length("text") <= most_chars).withColumn("h", F.xxhash64("id"))
+    # The hash that the last chosen row has, found from ids alone: of texts only those up to it are shuffled.
+    first = short.select("id", "h").join(known, F.col("id") == F.col("lid")).select("h").orderBy("h").limit(most_rows)
+    last = first.agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    pool = short.where(F.col("h") <= last).join(known, F.col("id") == F.col("lid"))
+    chosen = pool.select("text", "y", "h").orderBy("h", "text", "y").limit(most_rows)
     return [(r["text"], r["y"]) for r in chosen.collect()]
 
 

@@ -104,3 +104,18 @@ def test_hosts(spark, monkeypatch):
     monkeypatch.setattr(h, "SENT_BYTES", -1)
     assert sorted(((r["page_id"], r["text"], r["n_chars"]) for r in h.main_text(df).collect()), key=str) == got
     assert h.main_text(df.limit(0)).collect() == []
+
+
+def test_wrapper_decides_beside_articles():
+    assert h.extract('<main><p>long text</p><article class="teaser">x</article></main>') == "long text\n\nx"
+    teaser = '<article class="teaser">Buy our book</article>'
+    pages = [site(i, f"story {i} of many words " * (i + 1)).replace("<div class=z>", teaser + "<div class=z>") for i in range(5)]
+    w = h.infer(pages)
+    assert w["root"] == ["html", "body", "div.c"]
+    text = h.extract(pages[2], w)
+    assert text.startswith("story 2 o\n\nstory 2 of many") and "Buy our book" not in text and "Rights" not in text
+    # A page of another layout keeps what its own tags hold.
+    assert h.extract("<html><body><article><p>x</p></article></body></html>", w) == "x"
+    posts = [f"<html><body><article id=post-{i}><h1>Name {i}</h1><p>Text of {i}</p></article><div>by {i}</div></body></html>" for i in range(4)]
+    w = h.infer(posts)
+    assert w["root"] == ["html", "body", "article"] and h.extract(posts[3], w) == "Name 3\n\nText of 3"

@@ -119,3 +119,17 @@ def test_wrapper_decides_beside_articles():
     posts = [f"<html><body><article id=post-{i}><h1>Name {i}</h1><p>Text of {i}</p></article><div>by {i}</div></body></html>" for i in range(4)]
     w = h.infer(posts)
     assert w["root"] == ["html", "body", "article"] and h.extract(posts[3], w) == "Name 3\n\nText of 3"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="no-sidebar"><p>x</p></body>', "x"), ('<body class="sidebar"><p>x</p></body>', "x"),
+        ('<article class="post category-social"><p>x</p></article>', "x"), ('<main id=related><p>x</p></main>', "x"),
+        ('<body><div id=content class="content sidebar-right"><p>x</p></div><p>y</p></body>', "x\n\ny"),
+        ('<body><div class="banner"><p>all of the text</p></div><div class="share">send</div><p>y</p></body>', "all of the text\n\ny"),
+        ('<article><p>some text</p><div class="Ad box">buy</div><div class="ad-free">kept</div></article>', "some text\n\nkept"),
+    ],
+)
+def test_class_names_hide_no_content(page, text):
+    assert h.extract(page) == text

@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 import zlib
 
 import pytest
@@ -133,3 +134,41 @@ def test_wrapper_decides_beside_articles():
 )
 def test_class_names_hide_no_content(page, text):
     assert h.extract(page) == text
+
+
+def flat(i, more=""):
+    own = f"<h2>Name {i}</h2><p>One {i}</p><ul><li>Point {i}</li></ul><p>Two {i}</p><blockquote>Said {i}</blockquote><p>{f'Long {i} ' * 40}</p>"
+    return f"<html><body><div class=top>Our site</div><div class=c><div class=a>{own}</div><div class=b><p>Second part {i}</p></div></div>{more}</body></html>"
+
+
+def test_wrapper_keeps_all_blocks():
+    w = h.infer([flat(i) for i in range(5)])
+    assert w["root"] == ["html", "body", "div.c"]
+    assert h.extract(flat(3), w).split("\n\n") == ["Name 3", "One 3", "Point 3", "Two 3", "Said 3", ("Long 3 " * 40).strip(), "Second part 3"]
+
+
+def test_wrapper_of_near_copies():
+    shared = "".join(f"<h{k}>Part {k}</h{k}><p>{' '.join(f'w{k}x{j}' for j in range(40))}</p>" for k in range(2, 6))
+    copies = [f"<html><body><div class=c><h1>Shared</h1>{shared}<div class=d><p>Read {i} times</p></div></div></body></html>" for i in range(6)]
+    w = h.infer(copies)
+    assert w["template"] == [] and h.extract(copies[1], w) == h.extract(copies[1])
+
+
+def test_whole_streams_are_aligned():
+    menu = "".join(f"<div class=m{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>Menu {i}</p></div>" for i in range(1500))
+    pages = [f"<html><body>{menu}<div class=c><h2>Name {i}</h2><p>{f'Text {i} ' * 9000}</p></div></body></html>" for i in range(3)]
+    w = h.infer(pages)
+    assert w["root"] == ["html", "body", "div.c"] and h.extract(pages[2], w).startswith("Name 2\n\nText 2")
+
+
+def test_common_subsequences():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for k in range(len(b)):
+                best[i + 1][k + 1] = best[i][k] + 1 if a[i] == b[k] else max(best[i][k + 1], best[i + 1][k])
+        found = h.common(a, b)
+        assert len(found) == best[-1][-1] and all(a[i] == b[k] for i, k in found)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(found, found[1:]))

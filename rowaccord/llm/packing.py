@@ -4,8 +4,9 @@ A document's tokens end with one end mark. Only documents longer than a sequence
 first fills a sequence of its own, so what is left to pack are lengths between 1 and the capacity. All that
 matters for a packing is how many pieces have each length, a table of at most ``capacity`` rows whatever the
 size of the corpus. Bin completion runs on that table: a best-fit packing is the first incumbent, then a
-branch-and-bound takes the largest length left, enumerates the fillings around it that no other filling
-dominates, and prunes by the waste that a better packing could still afford. A filling is used for as many
+branch-and-bound takes the largest length left and commits the fullest filling around it, found exactly, level by
+level down to the last piece. From there it goes back, enumerates the other fillings that no filling dominates, and
+prunes by the waste that a better packing could still afford. A filling is used for as many
 sequences at once as its counts allow. The plan comes back as runs: the ranks from a to b of one length go, m to
 a sequence, to the sequences from s on. Each piece finds its run by its rank among the pieces of its length; ranks
 come from counts per length and hash bucket, so that a length that a third of all pieces have is split.
@@ -13,6 +14,7 @@ come from counts per length and hash bucket, so that a length that a third of al
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import re
@@ -29,6 +31,10 @@ from .common import by_batch, id_and_text, settled
 
 #: The id 0 that ends a document.
 MARK = bytes(4)
+#: Steps of one enumeration of fillings.
+STEPS = 100_000
+#: Packings by best fit on the way down: at so many first levels, and at so many parts of the total.
+TRIES, PARTS = 8, 32
 #: Hash buckets of each length when ranks are dealt out.
 RANK_BUCKETS = 256
 
@@ -170,23 +176,24 @@ def completions(largest: int, counts: dict[int, int], capacity: int, most_waste:
     lengths = sorted((x for x in counts if counts[x] > (x == largest)), reverse=True)
     have = {x: counts[x] - (x == largest) for x in lengths}
     found: list[tuple[int, Filling]] = []
-    steps = [20_000]
+    steps = [STEPS]
 
     def extend(i: int, room: int, chosen: list[tuple[int, int]]) -> None:
         steps[0] -= 1
         if steps[0] < 0 or len(found) >= most:
             return
-        while i < len(lengths) and lengths[i] > room:
+        while i < len(lengths):
+            if (x := lengths[i]) <= room:
+                for n in range(min(have[x], room // x), 0, -1):
+                    extend(i + 1, room - n * x, [*chosen, (x, n)])
+                    if len(found) >= most or found and found[-1][0] == 0 and len(found) >= most // 2:
+                        return
+                steps[0] -= 1
+                if steps[0] < 0:
+                    return
             i += 1
-        if i == len(lengths):
-            if room <= most_waste and not dominated(room, chosen):
-                found.append((room, tuple(chosen)))
-            return
-        x = lengths[i]
-        for n in range(min(have[x], room // x), -1, -1):
-            extend(i + 1, room - n * x, [*chosen, (x, n)] if n else chosen)
-            if len(found) >= most or n and found and found[-1][0] == 0 and len(found) >= most // 2:
-                return
+        if room <= most_waste and not dominated(room, chosen):
+            found.append((room, tuple(chosen)))
 
     def dominated(room: int, chosen: list[tuple[int, int]]) -> bool:
         used = dict(chosen)
@@ -205,50 +212,122 @@ def completions(largest: int, counts: dict[int, int], capacity: int, most_waste:
     return merged
 
 
+class Fullest:
+    """The fullest filling around one piece of the largest length, longest lengths first: exact, by sums as bits.
+
+    ``sums[i]`` has the bit of each sum that pieces of the ``i`` shortest lengths can reach; a change of a length
+    touches only those from there on. No filling dominates the fullest one.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts, self.capacity = counts, capacity
+        self.lengths = sorted(counts)
+        self.sums = [1]
+
+    def changed(self, length: int) -> None:
+        del self.sums[bisect.bisect_left(self.lengths, length) + 1 :]
+
+    def reach(self, sums: int, length: int, n: int) -> int:
+        n = min(n, self.capacity // length)
+        part, every = 1, (1 << self.capacity + 1) - 1
+        while n > 0:
+            sums |= sums << length * min(part, n) & every
+            part, n = 2 * part, n - part
+        return sums
+
+    def __call__(self, largest: int) -> Filling:
+        room = self.capacity - largest
+        top = bisect.bisect_right(self.lengths, min(room, largest))
+        for i in range(len(self.sums), top + 1):
+            x = self.lengths[i - 1]
+            self.sums.append(self.reach(self.sums[-1], x, self.counts.get(x, 0) - (x == largest)))
+        left = (self.sums[top] & (1 << room + 1) - 1).bit_length() - 1
+        filling = {largest: 1}
+        for i in range(top, 0, -1):
+            if not left:
+                break
+            x = self.lengths[i - 1]
+            n = min(self.counts.get(x, 0) - (x == largest), left // x)
+            while n > 0 and not self.sums[i - 1] >> left - n * x & 1:
+                n -= 1
+            if n > 0:
+                filling[x] = filling.get(x, 0) + n
+                left -= n * x
+        if top and self.lengths[top - 1] == largest:
+            self.changed(largest)
+        return tuple(sorted(filling.items(), reverse=True))
+
+
 def bin_completion(
-    counts: dict[int, int], capacity: int, effort: int = 8_000, branches: int = 8
+    counts: dict[int, int], capacity: int, effort: int = 400, branches: int = 64
 ) -> list[tuple[Filling, int]]:
     """Fillings with their numbers of copies that use up ``counts`` in few sequences.
 
-    The search ends at a proven optimum, or with the best packing seen after ``effort`` steps, a step being one
-    length of one tried filling: the effort depends on the number of different lengths, never on the number of
-    documents. Every tried filling's rest is also packed by best fit, which gives the next incumbents.
+    The search goes down to the last piece once, whatever that takes, with the fullest filling of each level. It ends
+    at a proven optimum, or with the best packing seen after ``effort`` more fillings, from the last levels
+    up. The levels depend on the number of different lengths, never on the number of documents.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
     bound = -(-total // capacity)
     size = lambda plan: sum(n for _, n in plan)
     best = best_fit(counts, capacity)
-    stack: list[tuple[dict[int, int], list[tuple[Filling, int]], int]] = [(counts, [], 0)]
-    while stack and size(best) > bound and effort > 0:
-        rest, done, waste = stack.pop()
-        if not rest:
+    fewest = size(best)
+    rest, waste = dict(counts), 0
+    fullest = Fullest(rest, capacity)
+    done: list[tuple[Filling, int]] = []
+
+    def use(filling: Filling, copies: int) -> None:
+        """Take ``copies`` of a filling out of the rest, or put them back where negative."""
+        nonlocal waste
+        for x, n in filling:
+            rest[x] = rest.get(x, 0) - n * copies
+            if not rest[x]:
+                del rest[x]
+        waste += (capacity - sum(x * n for x, n in filling)) * copies
+        fullest.changed(min(filling)[0])
+
+    def options() -> Iterator[Filling]:
+        largest = max(rest)
+        yield (first := fullest(largest))
+        afford = (fewest - 1) * capacity - total - waste
+        if afford >= 0:
+            yield from (f for f in completions(largest, rest, capacity, min(afford, capacity), branches) if f != first)
+
+    levels, down, mark = [options()] if rest else [], True, PARTS - 1
+    while levels and fewest > bound and effort > 0:
+        filling = next(levels[-1], None)
+        if filling is None:
+            levels.pop()
+            if done:
+                f, copies = done.pop()
+                use(f, -copies)
             continue
+        effort -= not down
         # A better packing has at most one sequence less: what it may waste in all is known.
-        afford = (size(best) - 1) * capacity - total - waste
-        if afford < 0:
+        afford = (fewest - 1) * capacity - total - waste
+        room = capacity - sum(x * n for x, n in filling)
+        copies = min(rest[x] // n for x, n in filling)
+        if not down and room:
+            copies = min(copies, max(0, afford) // room)
+        if not copies:
             continue
-        largest = max(rest)
-        options = completions(largest, rest, capacity, min(afford, capacity), branches)
-        for filling in reversed(options):
-            copies = min(rest[x] // n for x, n in filling)
-            room = capacity - sum(x * n for x, n in filling)
-            copies = min(copies, afford // room) if room else copies
-            if not copies:
-                continue
-            left = dict(rest)
-            for x, n in filling:
-                left[x] -= n * copies
-                if not left[x]:
-                    del left[x]
-            plan = [*done, (filling, copies)]
-            whole = plan + best_fit(left, capacity)
-            effort -= len(counts)
-            if size(whole) < size(best):
-                best = whole
-            if size(best) == bound or effort <= 0:
-                return best
-            stack.append((left, plan, waste + room * copies))
+        done.append((filling, copies))
+        use(filling, copies)
+        if rest:
+            levels.append(options())
+            # On the way down the rest is also packed by best fit, at the first levels and at even parts of the total.
+            if down and (len(done) <= TRIES or sum(k * v for k, v in rest.items()) * PARTS <= total * mark):
+                mark = sum(k * v for k, v in rest.items()) * PARTS // total
+                whole = done + best_fit(rest, capacity)
+                if size(whole) < fewest:
+                    best, fewest = whole, size(whole)
+            continue
+        down = False
+        if size(done) < fewest:
+            best, fewest = list(done), size(done)
+        f, copies = done.pop()
+        use(f, -copies)
     return best
 
 

@@ -91,6 +91,29 @@ def test_completion_beats_best_fit():
     assert sum(n for _, n in p.bin_completion(counts, 10)) == -(-sum(k * v for k, v in counts.items()) // 10)
 
 
+def test_search_goes_below_the_root_with_many_lengths():
+    rng, counts = random.Random(1), Tally()
+    while counts.total() < 6000:
+        a, b = rng.randint(300, 1448), rng.randint(300, 1448)
+        if 300 <= 2048 - a - b <= 1448:
+            counts.update([a, b, 2048 - a - b])
+    assert len(counts) > 1000
+    size = sum(n for _, n in p.bin_completion(counts, 2048))
+    assert 2000 <= size <= 2025 < sum(n for _, n in p.best_fit(counts, 2048))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fullest_filling(seed):
+    rng = random.Random(seed)
+    counts = Tally(rng.randint(3, 40) for _ in range(rng.randint(1, 9)))
+    largest = max(counts)
+    sums = {largest}
+    for x in (counts - Tally([largest])).elements():
+        sums |= {y + x for y in sums if y + x <= 50}
+    filling = p.Fullest(counts, 50)(largest)
+    assert sum(x * n for x, n in filling) == max(sums) and all(n <= counts[x] for x, n in filling) and dict(filling)[largest]
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["the", "Ünder", "x9"]) for _ in range(rng.choice([0, 3, 30, 30, 30, 200])))) for i in range(300)]

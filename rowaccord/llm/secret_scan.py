@@ -3,13 +3,15 @@
 Candidates are long runs of key-like characters with a digit, and values that are assigned to names such as ``token``.
 Each is described by its length, its character transitions, how far words of the corpus cover it, whether it looks like
 part of a path, and the words beside it; the forest learns from labelled findings which descriptions are secrets.
-Only the fit runs on the driver, on a bounded sample; the scan is one pass over whole texts.
+The words' letter pairs and trigrams are counted over all documents. Only the fit of the forest runs on the driver, on a
+bounded sample of findings; the scan is one pass over whole texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, id_and_text
 
-LONG = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+_BLANK = r"(?:\s{0,3}|[^\S\r\n]*+)"
 NAMED = re.compile(
-    r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential|authorization)[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?([^\s\"'<>&;,]{6,})",
+    r"(?:token|secret|passw(?:or)?d|passphrase|passcode|pwd|credential|authorization|[a-z0-9][_-]key"
+    r"|(?:api|access|secret|private|auth|encryption|signing|master|shared|session|account|storage|client|service|license|ssh|host|deploy)key)"
+    rf"[\w-]{{0,40}}+[\"']?{_BLANK}(?:=>|:=|[:=]){_BLANK}[\"']?([^\s\"'<>&;,]{{6,}})",
     re.I,
 )
 CONTEXT = 24
@@ -67,6 +72,35 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
+def grams(texts: list[str | None]) -> tuple[Counter[str], set[str]]:
+    """Counts of the first letters of pairs, the pairs and the trigrams of words, and those pairs and trigrams that candidates have.
+
+    Words are counted outside candidates: otherwise keys would teach their own trigrams, more so the larger the corpus.
+    """
+    words: Counter[str] = Counter()
+    inside: set[str] = set()
+    for t in texts:
+        at = 0
+        for f in candidates(t):
+            words.update(_WORD.findall(t[at : f.start].lower()))
+            at = f.end
+            inside |= _parts(f.text)
+        words.update(_WORD.findall((t or "")[at:].lower()))
+    counts: Counter[str] = Counter()
+    for w, n in words.items():
+        for i in range(len(w) - 1):
+            counts[w[i]] += n
+            counts[w[i : i + 2]] += n
+            if i + 2 < len(w):
+                counts[w[i : i + 3]] += n
+    return counts, inside
+
+
+def _parts(text: str) -> set[str]:
+    low = text.lower()
+    return {low[i : i + k] for k in (2, 3) for i in range(len(low) - k + 1) if low[i : i + k].isalpha()}
+
+
 @dataclass
 class Describer:
     """Turns findings into numbers, with what it knows of the corpus's words and of words beside secrets."""
@@ -76,18 +110,12 @@ class Describer:
     beside: tuple[dict[str, float], dict[str, float]] = field(default_factory=lambda: ({}, {}))
 
     def learn_words(self, texts: list[str]) -> None:
-        counts: dict[str, int] = {}
-        firsts: dict[str, int] = {}
-        threes: dict[str, int] = {}
-        for t in texts:
-            for w in _WORD.findall(t.lower()):
-                for i in range(len(w) - 1):
-                    counts[w[i : i + 2]] = counts.get(w[i : i + 2], 0) + 1
-                    firsts[w[i]] = firsts.get(w[i], 0) + 1
-                for i in range(len(w) - 2):
-                    threes[w[i : i + 3]] = threes.get(w[i : i + 3], 0) + 1
-        self.pairs = {p: -math.log((n + 1) / (firsts[p[0]] + 30)) for p, n in counts.items()}
-        self.trigrams = {t for t, n in threes.items() if n > 2}
+        self.learn_grams(grams(texts)[0])
+
+    def learn_grams(self, counts: dict[str, int]) -> None:
+        """``counts`` has how often each first letter of a pair, each pair and each trigram occurs in words."""
+        self.pairs = {p: -math.log((n + 1) / (counts[p[0]] + 30)) for p, n in counts.items() if len(p) == 2}
+        self.trigrams = {t for t, n in counts.items() if len(t) == 3 and n > 2}
 
     def learn_neighbours(self, findings: list[Finding], labels: list[int]) -> None:
         share = (sum(labels) + 1) / (len(labels) + 2)
@@ -222,10 +250,10 @@ class SecretModel:
         return text
 
 
-def fit_secrets(findings: list[Finding], labels: list[int], texts: list[str]) -> SecretModel:
-    """Fit on labelled findings; ``texts`` teach the words of the corpus."""
+def fit_secrets(findings: list[Finding], labels: list[int], texts: list[str] | dict[str, int]) -> SecretModel:
+    """Fit on labelled findings; ``texts``, or their ``grams``, teach the words of the corpus."""
     describe = Describer()
-    describe.learn_words(texts)
+    describe.learn_grams(texts if isinstance(texts, dict) else grams(texts)[0])
     describe.learn_neighbours(findings, labels)
     forest = Forest()
     if findings and min(labels) != max(labels):
@@ -245,6 +273,12 @@ def label(f: Finding) -> int:
     return int(f.named and mixed and len(set(f.text)) >= 6)
 
 
+def key_shaped(f: Finding) -> bool:
+    """Whether a bare finding could be a key as well as not: no rule labels it, so it teaches nothing."""
+    shaped = (len(w) >= 12 and re.search("[0-9]", w) and re.search("[A-Za-z]", w) for w in re.split(r"[/_=\-]+", f.text))
+    return not f.named and any(shaped)
+
+
 def examples(texts: list[str], n: int, seed: int = 5) -> tuple[list[Finding], list[int]]:
     """Findings made by rule around words of ``texts``: keys of common shapes, and what is often taken for one."""
     rng = np.random.default_rng(seed)
@@ -279,17 +313,36 @@ def examples(texts: list[str], n: int, seed: int = 5) -> tuple[list[Finding], li
 def fit_from_documents(docs: DataFrame, learn: Column, most_findings: int = 3000, most_texts: int = 400) -> SecretModel:
     """A model from a bounded sample of the documents that ``learn`` admits, chosen by their hashes.
 
-    Documents with candidates give findings, labelled by ``label``; as many are made by ``examples``. The corpus's words
-    come from ``most_texts`` documents.
+    Documents with candidates give findings, labelled by ``label``, from the first 20,000 characters; as many are made by
+    ``examples`` from words of ``most_texts`` documents. The corpus's pairs and trigrams are counted in all documents.
     """
     text = F.substring(F.col("text").cast("string"), 1, 20_000)
     rows = docs.where(learn & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), text.alias("text"))
     words = [r["text"] for r in rows.orderBy("h").limit(most_texts).collect()]
     likely = rows.where(F.col("text").rlike(r"[A-Za-z0-9+/_\-]{16,}") & F.col("text").rlike(r"[0-9][A-Za-z0-9+/_\-]{11,}|[=:]"))
     texts = [r["text"] for r in likely.orderBy("h").limit(most_findings // 3).collect()]
-    real = [f for t in texts for f in candidates(t)][:most_findings]
+    real = [f for t in texts for f in candidates(t) if not key_shaped(f)][:most_findings]
     made, of_made = examples(words, max(len(real), 600))
-    return fit_secrets(real + made, [label(f) for f in real] + of_made, words)
+    found = real + made
+    return fit_secrets(found, [label(f) for f in real] + of_made, corpus_grams(docs, {p for f in found for p in _parts(f.text)}))
+
+
+def corpus_grams(docs: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """``grams`` of the whole texts of all documents: those of ASCII letters, of candidates, and the ``wanted`` ones.
+
+    Others are of no use, since only candidates are described; without them the driver gets a bounded table also from
+    scripts with very many letters. First letters are all kept.
+    """
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        counts, inside = grams(batch["text"])
+        inside |= wanted
+        found = counts.keys() | inside
+        return {"g": list(found), "n": [counts[g] for g in found], "used": [len(g) == 1 or g.isascii() or g in inside for g in found]}
+
+    rows = by_batch(docs.select(F.col("text").cast("string").alias("text")), run, "g string, n bigint, used boolean")
+    kept = rows.groupBy("g").agg(F.sum("n").alias("n"), F.bool_or("used").alias("used")).where("used and n > 0")
+    return {r["g"]: r["n"] for r in kept.collect()}
 
 
 def secrets(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -107,3 +107,32 @@ def test_secrets(spark):
     assert {r["doc_id"]: r["text"] for r in sec.redacted(docs, model).collect()} == {1: model.redact(text), None: "clean", 2: None}
     rows = [r for r in sec.secrets(docs, model).collect() if r["is_secret"]]
     assert [(r["doc_id"], text[r["start"] : r["start"] + r["length"]]) for r in rows] == [(1, key)]
+
+
+def test_secret_candidates_are_whole():
+    one = lambda t: [(f.text, f.named) for f in sec.candidates(t)]
+    assert one("password      =      hunter2abc") == [("hunter2abc", True)]
+    assert one("password\t\t\t\t\t:\thunter2abc") == [("hunter2abc", True)]
+    for name in ("secret_key", "private_key", "AWS_SECRET_ACCESS_KEY", "privateKey", "signing-key", "token_v2", "passphrase", "credentials"):
+        assert one(f'{name} = "abc12def"') == [("abc12def", True)], name
+    long = "k" * 300 + "7" + "q" * 20
+    assert one(f"see {long} there") == [(long, False)]
+    assert one("the monkey: banana12 and a key word") == []
+
+
+def test_bare_keys_are_no_negatives():
+    bare = sec.candidates("see 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b and alpha/river/2041/stone-under")
+    assert [sec.key_shaped(f) for f in bare] == [True, False]
+    assert not any(sec.key_shaped(f) for f in sec.candidates("token = 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"))
+
+
+def test_words_of_all_documents(spark):
+    rows = [(i, "alpha river stone " * 20) for i in range(30)] + [(i, "x " * 15_000 + "zürqow zürqow zürqow token = zürqow9zürqow") for i in range(30, 33)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    model = sec.fit_from_documents(docs, F.lit(True), most_texts=3)
+    assert {"alp", "qow", "zür"} <= model.describe.trigrams
+    whole, _ = sec.grams([t for _, t in rows])
+    assert {g: n for g, n in whole.items() if g in model.describe.pairs}.keys() == model.describe.pairs.keys()
+    every = sec.Describer()
+    every.learn_grams(whole)
+    assert all(every.pairs[p] == s for p, s in model.describe.pairs.items()) and "9zü" not in every.trigrams

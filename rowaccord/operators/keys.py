@@ -16,10 +16,10 @@ from ..functions import text
 from ..functions.compare import common_type
 from ..functions.names import chunks, col, quote, require_columns
 
-# Thresholds and weights of the key ranking.
+# Thresholds and weights of the key ranking, and the column groups that one job counts.
 UNIQUE_RATIO = 0.99
 COMPOSITE_CONFIDENCE = 0.85
-COMPOSITE_POOL = 5
+GROUPS_PER_JOB = 40
 
 _LONG_MAX = 2**63 - 1
 
@@ -180,8 +180,7 @@ def key_nulls(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _distinct_counts(df: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
     """``candidate, distinct_count``: exact distinct rows of each column group.
 
-    Each group is its own narrow scan and hash aggregate on native types, all in one
-    job; a single aggregate with many exact distincts would multiply every input row.
+    Each group is its own narrow scan and hash aggregate on native types; a single aggregate with many exact distincts would multiply every input row.
     """
     parts = []
     for i, group in enumerate(groups):
@@ -239,21 +238,22 @@ def _measure(
         estimates = _estimates(df, groups)
         distinct = {i: min(n, counts[i][0]) for i, n in enumerate(estimates)}
         finalists = [i for i in finalists if distinct[i] >= ESTIMATE_RATIO * counts[i][0]]
-    if finalists:
-        for r in _distinct_counts(df, [groups[i] for i in finalists]).collect():
-            distinct[finalists[r.candidate]] = r.distinct_count
+    for part in chunks(finalists, GROUPS_PER_JOB):
+        for r in _distinct_counts(df, [groups[i] for i in part]).collect():
+            distinct[part[r.candidate]] = r.distinct_count
     return [(g, counts[i][0], distinct[i], counts[i][1]) for i, g in enumerate(groups)]
 
 
 def discover_keys(
-    df: DataFrame, max_columns: int = 3, exact: bool = True, pool: int = COMPOSITE_POOL
+    df: DataFrame, max_columns: int = 3, exact: bool = True, pool: int | None = None
 ) -> DataFrame:
     """Rank single columns, then pairs and triples, as row keys.
 
     A single column is unique from a distinct ratio of 0.99, a composite only when all
     rows differ. Pairs are tried when no single column is unique and triples when no pair
-    is, among the ``pool`` columns with the most distinct values; a group whose distinct
-    counts multiply to less than the row count cannot be unique and is left out. With
+    is, among all columns, or the ``pool`` ones with the most distinct values if given; a
+    group whose distinct counts, or those of a pair in it and of the third column, multiply
+    to less than the row count cannot be unique and is left out. With
     ``exact=False`` groups that an estimate shows to be far from unique keep the estimate,
     and every factor of that product is raised by the error it may have: which keys are
     unique is still exact, and only their values are shuffled.
@@ -270,17 +270,22 @@ def discover_keys(
         found.append((list(group), ratio, ratio >= UNIQUE_RATIO, null_rate, ratio * (1.0 - null_rate)))
 
     tried = sorted(singles, key=lambda s: -s[2])[:pool]
-    most = {s[0][0]: s[2] if exact else s[2] / ESTIMATE_RATIO for s in tried}
+    raised = 1 if exact else ESTIMATE_RATIO
+    most = {s[0]: s[2] / raised for s in tried}
     for size in range(2, max_columns + 1):
         if not total or any(f[2] for f in found):
             break
         groups = []
         for group in combinations([s[0][0] for s in tried], size):
-            if reduce(lambda x, y: x * y, [most[c] for c in group]) >= total:
+            # What a part of the group has at most, times what its other column has.
+            parts = [(group[:i] + group[i + 1 :], (group[i],)) for i in range(size)]
+            most[group] = min(most[part] * most[other] for part, other in parts)
+            if most[group] >= total:
                 groups.append(group)
         if not groups:
             continue
         for group, rows, distinct, nulls in _measure(df, groups, exact):
+            most[group] = min(most[group], distinct / raised)
             ratio, unique = distinct / rows, distinct == rows
             confidence = COMPOSITE_CONFIDENCE if unique else ratio * COMPOSITE_CONFIDENCE
             found.append((list(group), ratio, unique, nulls / rows, confidence))

@@ -129,6 +129,14 @@ def test_discover_pairs_then_triples(spark):
     assert ra.discover_keys(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_key_column_with_few_values_in_a_wide_table(spark, exact):
+    more = [f"id div 4 * {p} % {100 + k} as more{k}" for k, p in enumerate((7, 11, 13, 17, 19, 23))]
+    df = spark.range(2000).selectExpr("id div 4 % 20 as store", "id div 80 as day", "id % 4 as line", *more)
+    rows = [r for r in ra.discover_keys(df, exact=exact).collect() if r["is_unique"]]
+    assert ["day", "line", "store"] in [sorted(r["columns"]) for r in rows] and all("line" in r["columns"] for r in rows)
+
+
 def test_estimates_only_settle_what_is_far_from_unique(spark):
     df = spark.range(5000).selectExpr("id", "id % 4990 as near", "id % 70 as few", "cast(null as int) as none")
     rows = {r["columns"][0]: r for r in ra.discover_keys(df, exact=False).collect()}

@@ -609,6 +609,37 @@ def discover_keys_composite(spark):
     return _key_output(ra.discover_keys(spark.sql("select conv_id, turn, role from conversations"))).drop("rank")
 
 
+WIDE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_linenumber"]
+WIDE = f"""select l_orderkey, l_linenumber, {', '.join(f'max({c}) as {c}' for c in WIDE_COLUMNS[1:-1])} from lineitem
+    group by l_orderkey, l_linenumber"""
+
+
+def _pairs_sql(columns: list[str]) -> str:
+    """All pairs whose distinct counts multiply to the row count at least."""
+    parts = [
+        f"select * from ({_pair_sql(x, y)}) where (select (count(distinct {x}) + max(({x} is null)::int)) "
+        f"* (count(distinct {y}) + max(({y} is null)::int)) >= count(*) from t)"
+        for i, x in enumerate(columns)
+        for y in columns[i + 1 :]
+    ]
+    return " union all ".join(parts)
+
+
+@query(
+    f"""with t as ({WIDE}), p as ({_pairs_sql(WIDE_COLUMNS)}),
+    found as (select columns, uniqueness_ratio, uniqueness_ratio = 1 as is_unique, null_rate,
+      case when uniqueness_ratio = 1 then 0.85::double else uniqueness_ratio * 0.85::double end as confidence from p
+      union all {_single_keys_sql('t', WIDE_COLUMNS)})
+    select array_to_string(list_sort(string_split(columns, ',')), ',') as columns, uniqueness_ratio, is_unique, null_rate,
+      confidence from found""",
+    "lineitem",
+)
+def discover_keys_wide(spark):
+    """The key's line number has fewer values than five other columns."""
+    found = ra.discover_keys(spark.sql(WIDE).select(*WIDE_COLUMNS)).drop("rank", "recommended")
+    return _key_output(found.withColumn("columns", F.sort_array("columns")))
+
+
 def _top_keys_sql(table: str, columns: list[str], n: int) -> str:
     return f"""(select columns, r as rank_f{n}, uniqueness_ratio as unique_rate_f{n}, is_unique as is_unique_f{n} from (
     select *, cast(row_number() over (order by is_unique desc, confidence desc, columns) as integer) as r

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import parsing, text
 from ..functions.names import chunks, lit, quote, require_distinct_names
 
-# Delimiters looked for, in order of preference, and the number of lines looked at.
+# Delimiters looked for, in order of preference.
 DELIMITERS = (",", "\t", "|", ";")
-DELIMITER_LINES = 20
 
 # Encoding names found, the reader's name for each, and how sure the finding is.
 READER_ENCODINGS = {
@@ -49,7 +49,7 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.bool_or(F.expr("latin RLIKE '[\\u0080-\\u009F]'")), F.lit(False)).alias("c1"),
     )
     # The text reader drops a UTF-8 mark, so the first bytes come from the file itself.
-    marked = F.lit(_starts_with_utf8_mark(spark, path))
+    marked = F.lit(_utf8_mark(spark, path))
     encoding = (
         F.when(marked, "utf-8-sig")
         .when(F.col("le"), "utf-16-le")
@@ -63,17 +63,21 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     return found.select(encoding.alias("encoding"), confidence.alias("confidence"), has_bom.alias("has_bom"))
 
 
-def _starts_with_utf8_mark(spark: SparkSession, path: str) -> bool:
-    """Whether the first file below a path starts with the bytes EF BB BF; reads three bytes."""
-    files = spark.read.text(path).inputFiles()
-    if not files:
-        return False
-    target = spark._jvm.org.apache.hadoop.fs.Path(sorted(files)[0])
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
-    try:
-        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
-    finally:
-        stream.close()
+def _utf8_mark(spark: SparkSession, path: str) -> bool:
+    """Whether any file below a path starts with the bytes EF BB BF; reads three bytes of each until one does."""
+    conf = spark._jsc.hadoopConfiguration()
+
+    def marked(file: str) -> bool:
+        target = spark._jvm.org.apache.hadoop.fs.Path(file)
+        stream = target.getFileSystem(conf).open(target)
+        try:
+            return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+        finally:
+            stream.close()
+
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        return any(any(pool.map(marked, part)) for part in chunks(files, 256))
 
 
 def _reader_encoding(spark: SparkSession, encoding: str) -> str:
@@ -91,20 +95,21 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
-    """The delimiter whose count per line is high and even over the first lines, else a comma."""
-    counts = [
-        F.struct(
-            F.expr(f"avg(n{i}) - var_pop(n{i})").alias("score"), F.lit(-i).alias("order"), F.lit(d).alias("delimiter")
-        )
-        for i, d in enumerate(DELIMITERS)
-    ]
-    per_line = [
-        (F.char_length("value") - F.char_length(F.translate("value", d, ""))).alias(f"n{i}")
-        for i, d in enumerate(DELIMITERS)
-    ]
-    head = _lines(spark, path, encoding).limit(DELIMITER_LINES).where("value <> ''").select(*per_line)
-    best = head.groupBy().agg(F.greatest(*counts).alias("b")).select("b.*").first()
-    return best["delimiter"] if best["score"] is not None and best["score"] > 0 else DELIMITERS[0]
+    """The delimiter that most lines have equally often, and often, over all lines; a comma if none occurs.
+
+    A count per line scores its square share of the lines times itself, so that lines before the table and signs within
+    texts weigh little. Quoted cells are not looked into.
+    """
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    per_line = [(F.char_length("bare") - F.char_length(F.translate("bare", d, ""))).alias(f"n{i}") for i, d in enumerate(DELIMITERS)]
+    lines = _lines(spark, path, encoding).where("value <> ''").select(bare.alias("bare")).select(*per_line)
+    # Lines with equal counts collapse before the shuffle.
+    counts = lines.groupBy(*lines.columns).agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("per")) for i in range(len(DELIMITERS))])
+    sizes = counts.select("n", F.inline(each)).groupBy("i", "per").agg(F.sum("n").alias("n"))
+    found = sizes.groupBy("i").agg(F.max(F.col("per") * F.col("n") * F.col("n").cast("double")).alias("score"))
+    best = max(found.collect(), key=lambda r: (r["score"], -r["i"]), default=None)
+    return DELIMITERS[best["i"]] if best is not None and best["score"] > 0 else DELIMITERS[0]
 
 
 def has_quoted_newlines(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8") -> bool:

@@ -65,6 +65,28 @@ def test_detect_delimiter(spark, tmp_path, text, delimiter):
     assert detect_delimiter(spark, put(tmp_path / "f.csv", text.encode())) == delimiter
 
 
+@pytest.mark.parametrize(
+    "lines",
+    [
+        ["one, two, three, four"] * 25 + ["a;b;c"] + [f"{i};x;y" for i in range(200)],
+        [f"note {i}" for i in range(25)] + ["a;b;c"] + [f"{i};x, y, z;w" if i % 3 else f"{i};x;w" for i in range(60)],
+        ["a;b;c"] + [f'{i};"x, y, z, u, v";w' for i in range(60)],
+    ],
+)
+def test_delimiter_of_all_lines(spark, tmp_path, lines):
+    assert detect_delimiter(spark, put(tmp_path / "f.csv", "\n".join(lines).encode())) == ";"
+
+
+def test_mark_of_any_file(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    put(tmp_path / "m" / "a.csv", b"x,y\n1,2\n")
+    put(tmp_path / "m" / "b.csv", b"\xef\xbb\xbfx,y\n3,4\n")
+    found = ra.detect_encoding(spark, str(tmp_path / "m")).first()
+    assert (found["encoding"], found["has_bom"]) == ("utf-8-sig", True)
+    table = ra.read_delimited(spark, str(tmp_path / "m"))
+    assert table.columns == ["x", "y"] and sorted(tuple(r) for r in table.collect()) == [(1, 2), (3, 4)]
+
+
 def test_cells_types_and_late_values(spark, tmp_path):
     lines = "id,n,f,b,s,day\n" + "1,5,1.5,TRUE,x,2020-01-01\n" * 3 + '2,,2,false,"",2020-01-02\n3,oops\n'
     df = ra.read_delimited(spark, put(tmp_path / "f.csv", lines.encode()))

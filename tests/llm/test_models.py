@@ -136,3 +136,11 @@ def test_words_of_all_documents(spark):
     every = sec.Describer()
     every.learn_grams(whole)
     assert all(every.pairs[p] == s for p, s in model.describe.pairs.items()) and "9zü" not in every.trigrams
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(1000 * k + i, f"w{k}ord text{k} of{k} its own", f"l{k:03}") for k in range(230) for i in range(2 if k < 200 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert lang.fit_language(docs, F.lit(True), epochs=1).names == sorted({r[2] for r in rows})
+    assert len(lang.fit_language(docs, F.lit(True), most_languages=3, epochs=1).names) == 3
+    assert lang.fit_language(docs.limit(0), F.lit(True)).names == []

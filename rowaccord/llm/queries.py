@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from .common import remainder, settled
 from .decontaminate import contamination
+from .fill_middle import fill_in_middle, restored
 from .html_text import main_text
 from .jaccard import jaccard_components
 from .language import fit_language, languages
+from .mixing import mixture_plan, words_taken
 from .near_vectors import near_vectors
 from .packing import document_pieces, pack
 from .quality import fit_quality, quality_scores
 from .secret_scan import fit_from_documents, secrets
+from .spelling import spelling_variants
 from .token_counts import Unigram, token_counts
 from .warc import archived
 
@@ -94,6 +97,27 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return words_taken(mixture_plan(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_warc,
         op10_main_text,
+        op11_spelling,
+        op12_fill_middle,
+        op13_mixture,
     )
 }
 
@@ -180,5 +207,79 @@ select page_id, strlen(h)::bigint as payload_bytes, array_to_string(d, '') as pa
   case when n > 1 and page_id <> m then 'revisit' else 'response' end as record_type,
   case when n > 1 and page_id <> m then m end as refers_to
 from p join g on sha1(h) = g.k join digits on g.k = digits.k
+""",
+    "op11_spelling": rf"""
+with recursive texts as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+runs as (select doc_id, run, hex(doc_id::varchar || ':' || run) as x, count(*) as n from texts group by all having length(run) >= 6),
+bytes as (select doc_id, run, n, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::ubigint) as b from runs),
+hashed as (
+  select run, n, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, b), lambda c, y:
+    list_reduce(list_prepend(xor(c, y), list_transform(range(8), lambda k: k::ubigint)), lambda v, k:
+      xor(v >> 1, 3988292384::ubigint * (v & 1)))
+    )) as h from bytes),
+counted as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word,
+    sum(n)::bigint as n from hashed group by 1),
+w as materialized (select word, n from counted where length(word) >= 6 and n >= 5),
+spots as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+cut as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from spots),
+one_way as (
+  select a.word as x, b.word as y from cut a join cut b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select a.word, b.word from cut a join w b on a.d = b.word
+  union select b.word, a.word from cut a join w b on a.d = b.word),
+near as (select x, y, w.n as near_n, row_number() over (partition by x order by w.n desc, y) as place from one_way join w on y = w.word),
+best as (select x, count(*) as n_near, max(y) filter (place = 1) as y, max(near_n) as near_n from near group by x),
+f as materialized (
+  select word, n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * n then y end as form, case when near_n >= 5 * n then near_n end as form_n
+  from w left join best on word = x),
+walk(word, place) as (select word, word from f union all select walk.word, f.form from walk join f on walk.place = f.word where f.form is not null),
+roots as (select walk.word, place from walk join f on place = f.word where form is null)
+select f.word, form, place as root, n, n_near, form_n from f join roots on f.word = roots.word
+""",
+    "op12_fill_middle": """
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || doc_id) as h from documents),
+draws as (
+  select *, len(w) as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::ubigint) as g from d),
+placed as (
+  select *, least(g[1] % (n + 1), g[2] % (n + 1))::bigint as a, greatest(g[1] % (n + 1), g[2] % (n + 1))::bigint as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or g[3] % 100 >= 90 then 'plain'
+      when g[4] % 100 < 20 then 'spm' else 'psm' end as form from draws),
+parts as (
+  select *, coalesce(array_to_string(w[1 : a], ''), '') as p, coalesce(array_to_string(w[a + 1 : b], ''), '') as m,
+    coalesce(array_to_string(w[b + 1 : n], ''), '') as s from placed)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+""",
+    "op13_mixture": r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    substr(md5('0:' || coalesce(doc_id::varchar, '')), 1, 16) as place, row_number() over () as r from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, ([5.0, 2.0, 1.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight
+  from d group by source),
+filled as (
+  select *, sum(2 * source_size) over (order by 2 * source_size / weight, source nulls last rows unbounded preceding) as bounds,
+    sum(weight) over (order by 2 * source_size / weight, source nulls last rows unbounded preceding) as weights from sources),
+whole as (select sum(weight) as all_weights, sum(source_size)::double * 1.5::double as budget from sources),
+level as (
+  select greatest(max(budget / all_weights), max(case when all_weights > weights then (budget - bounds::double) / (all_weights - weights) end)) as level
+  from filled, whole),
+wanted as (select source, source_size, least(2 * source_size::double, level * weight) as target from filled, level),
+queued as (
+  select *, sum(size) over (partition by source order by place, doc_id nulls last, size, r rows unbounded preceding) as served from d),
+turns as (
+  select doc_id, queued.source, size, source_size, target, turn, place, r,
+    case when target > 0 and size > 0 then (turn * source_size + served)::double / target end as finish
+  from queued join wanted on queued.source is not distinct from wanted.source, range(2) as t(turn)),
+mix as (
+  select *, sum(size) over (order by finish, source nulls last, turn, place, doc_id nulls last, size, r rows unbounded preceding) as until
+  from turns where finish is not null),
+taken as (select r, sum(size)::bigint as taken from mix, whole where until::double - size / 2 < budget group by r)
+select doc_id, size, wanted.source_size, wanted.target, coalesce(taken, 0)::bigint as taken
+from d join wanted on d.source is not distinct from wanted.source left join taken on d.r = taken.r
 """,
 }

@@ -92,9 +92,9 @@ def near_pairs(words: DataFrame, letters: int = LETTERS, parts: int = PARTS) ->
     No word may have fewer than ``letters`` code points.
     """
     signed = signatures(words, letters, parts)
-    other = signed.select("signature", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = signed.join(other, "signature").where("word < near AND levenshtein(word, near, 1) = 1")
-    pairs = pairs.select("word", "near", "n", "near_n").distinct()
+    # Both sides are the same plan under the same names, so the signatures are made and shuffled once.
+    pairs = signed.alias("a").join(signed.alias("b"), F.expr("a.signature = b.signature AND a.word < b.word AND levenshtein(a.word, b.word, 1) = 1"))
+    pairs = pairs.selectExpr("a.word", "b.word AS near", "a.n", "b.n AS near_n").distinct()
     return pairs.union(pairs.select("near", "word", "near_n", "n"))
 
 

@@ -193,7 +193,7 @@ def _distinct_counts(df: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _null_counts(df: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
+def null_counts(df: DataFrame, groups: list[tuple[str, ...]]) -> DataFrame:
     """``candidate, total_rows, null_rows`` of each column group, one scan per forty groups."""
     parts = []
     for part in chunks(list(enumerate(groups)), 40):
@@ -231,7 +231,7 @@ def _measure(
     df: DataFrame, groups: list[tuple[str, ...]], exact: bool
 ) -> list[tuple[tuple[str, ...], int, int, int]]:
     """One small row per column group: (columns, rows, distinct, rows with a null)."""
-    counts = {r.candidate: (r.total_rows, r.null_rows) for r in _null_counts(df, groups).collect()}
+    counts = {r.candidate: (r.total_rows, r.null_rows) for r in null_counts(df, groups).collect()}
     distinct: dict[int, int] = {}
     finalists = list(range(len(groups)))
     if not exact:

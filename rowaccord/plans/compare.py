@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.compare import IgnoreRules
 from ..operators.checks import ValidationConfig, check_summary, validate_pair
 from ..operators.diff import Diff, DiffSpec
+from ..operators.key_search import smallest_keys
 from ..operators.keys import discover_keys, key_columns, key_multiplicity
 from ..operators.profile import profile_columns
 from ..operators.schema import apply_column_map, compare_schemas, rename_candidates, schema_score
@@ -25,7 +27,7 @@ class CompareSpec:
     """A comparison request.
 
     ``keys`` are names of table 1; ``keys_2`` gives other names they have in table 2. Without
-    keys the best unique candidate of table 1 is taken, or else its first column.
+    keys the best unique candidate of table 1 is taken, or else its first column (see :class:`KeyChoice`).
     ``preview`` compares only that share of the keys, chosen by hash on both sides alike.
     ``exact_profiles=False`` profiles with estimated distinct counts, without a shuffle.
     """
@@ -71,13 +73,19 @@ class Comparison:
         # Names are mapped before anything looks at table 2: keys, schemas, profiles, checks, diff.
         df2 = apply_column_map(df2, spec.full_column_map())
         self.spec = spec
-        self.keys = list(spec.keys) if spec.keys else default_keys(df1)
+        self.key_choice = KeyChoice(list(spec.keys), "given", "named by the caller") if spec.keys else choose_key(df1)
+        self.keys = self.key_choice.columns
         self.is_preview = spec.preview is not None
         if self.is_preview:
             df1, df2 = preview_keys(df1, df2, self.keys, spec.preview)
         self.df1, self.df2 = df1, df2
         self.diff = Diff(df1, df2, DiffSpec(self.keys, spec.rules, None, spec.compare_columns))
 
+    def key_report(self) -> DataFrame:
+        """One row: the key's ``columns``, its ``source`` and the ``reason`` for it."""
+        k = self.key_choice
+        return self.df1.sparkSession.createDataFrame([(k.columns, k.source, k.reason)], "columns array<string>, source string, reason string")
+
     def schemas(self) -> DataFrame:
         return compare_schemas(self.df1, self.df2)
 
@@ -118,10 +126,38 @@ class Comparison:
         return key_multiplicity(self.df1, self.df2, self.keys)
 
 
+@dataclass(frozen=True)
+class KeyChoice:
+    """The key of a comparison and why it was taken.
+
+    ``source`` is ``given``, ``single`` (a column whose values almost all differ), ``composite`` (a smallest group of
+    columns in which all rows differ) or ``fallback`` (no key was found: the first column, and rows that share it count
+    as repeated keys).
+    """
+
+    columns: list[str]
+    source: str
+    reason: str
+
+
+def choose_key(df: DataFrame, max_columns: int = 4) -> KeyChoice:
+    """The best single column as key, else the best smallest composite key, else the first column with a warning."""
+    best = discover_keys(df, max_columns=1, exact=False).where("recommended AND is_unique").first()
+    if best:
+        found = f"{best.uniqueness_ratio:.2%} of the values differ, {best.null_rate:.2%} are null"
+        return KeyChoice(list(best["columns"]), "single", found)
+    group = smallest_keys(df, max_columns=max_columns, min_columns=2).where("rank = 1").first()
+    if group:
+        found = f"no column is a key; all rows differ in these {group.n_columns}, {group.null_rate:.2%} hold a null"
+        return KeyChoice(list(group["columns"]), "composite", found)
+    found = f"no group of up to {max_columns} columns is a key; the first column was taken"
+    warnings.warn(f"{found}: {df.columns[0]!r}", stacklevel=3)
+    return KeyChoice([df.columns[0]], "fallback", found)
+
+
 def default_keys(df: DataFrame) -> list[str]:
-    """The best unique key candidate, or the first column."""
-    best = discover_keys(df, exact=False).where("recommended AND is_unique").first()
-    return list(best["columns"]) if best else [df.columns[0]]
+    """The columns of :func:`choose_key`."""
+    return choose_key(df).columns
 
 
 def compare(df1: DataFrame, df2: DataFrame, spec: CompareSpec | None = None, **options) -> Comparison:

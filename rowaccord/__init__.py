@@ -1,6 +1,7 @@
 """Reconcile and check tables with Spark: diff, profile, key discovery, validation, reports."""
 
 from .functions.compare import IgnoreRules
+from .functions.exact import ExactSum
 from .operators.aggregates import aggregation_compare, transactional_compare
 from .operators.checks import (
     ColumnRule,

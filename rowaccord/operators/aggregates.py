@@ -9,34 +9,48 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import ExactSum, places, sum_expression
 from ..functions.names import col, quote, require_columns
+from ..functions.text import is_float
 
 
 def aggregation_compare(
     df1: DataFrame,
     df2: DataFrame,
     group: Sequence[str],
-    measures: Mapping[str, str],
+    measures: Mapping[str, str | ExactSum],
     only_mismatches: bool = True,
     tolerance: float = 0.0,
     rollup: bool = False,
 ) -> DataFrame:
-    """Compare aggregates per group; ``measures`` maps names to SQL aggregates such as ``sum(x)``.
+    """Compare aggregates per group; ``measures`` maps names to SQL aggregates such as ``sum(x)``, or to an
+    :class:`ExactSum`, which gives equal rows equal sums of a floating-point column in whatever order they come.
 
     Each side is aggregated before anything is joined, so a group that fills a third of a
     table reaches the shuffle as one row per task. Groups match null-safely. Columns: the
     group, ``status`` (``only_in_f1``, ``only_in_f2``, ``differs``, ``equal``), and per measure
     ``{m}_f1``, ``{m}_f2``, ``{m}_differs``. Numbers differ when they are more than
-    ``tolerance`` apart, relative to the larger one: sums of floats depend on their order.
+    ``tolerance`` apart, relative to the larger one: plain sums of floats depend on their order.
     ``rollup`` adds the totals per leading group columns; ``_level`` counts the rolled up ones.
     """
     require_columns(df1, group, "table 1 groups")
     require_columns(df2, group, "table 2 groups")
     keys = [f"_g{i}" for i in range(len(group))]
+    exact = sorted({m.column for m in measures.values() if isinstance(m, ExactSum)})
+    for df, what in ((df1, "table 1 sums"), (df2, "table 2 sums")):
+        require_columns(df, exact, what)
+    cuts = places([df1, df2], exact) if exact else {}
+
+    def aggregate(measure: str | ExactSum, df: DataFrame) -> str:
+        if not isinstance(measure, ExactSum):
+            return measure
+        if not is_float(df.schema[measure.column].dataType):
+            return f"sum({quote(measure.column)})"
+        return sum_expression(measure.column, *cuts[measure.column])
 
     def side(df: DataFrame, n: int) -> DataFrame:
         columns = [col(g).alias(k) for k, g in zip(keys, group)]
-        aggs = [F.expr(sql).alias(f"_m{i}_{n}") for i, sql in enumerate(measures.values())]
+        aggs = [F.expr(aggregate(m, df)).alias(f"_m{i}_{n}") for i, m in enumerate(measures.values())]
         if rollup:
             level = F.expr(" + ".join(f"int(grouping({k}))" for k in keys)).alias("_level")
             grouped = df.select("*", *columns).rollup(*keys).agg(level, *aggs)
@@ -89,10 +103,15 @@ def transactional_compare(
     only_mismatches: bool = True,
     tolerance: float = 0.0,
 ) -> DataFrame:
-    """For tables where keys repeat by design: row count and sums per key, and which differ."""
+    """For tables where keys repeat by design: row count and sums per key, and which differ.
+
+    Sums of floating-point columns are exact until the last rounding, so they do not depend on the order of rows.
+    """
     require_columns(df1, sum_columns, "table 1 sums")
     require_columns(df2, sum_columns, "table 2 sums")
-    measures = {"count": "count(1)", **{f"sum_{c}": f"sum({quote(c)})" for c in sum_columns}}
+    floats = {c for c in sum_columns if any(is_float(df.schema[c].dataType) for df in (df1, df2))}
+    sums = {f"sum_{c}": ExactSum(c) if c in floats else f"sum({quote(c)})" for c in sum_columns}
+    measures = {"count": "count(1)", **sums}
     return aggregation_compare(df1, df2, keys, measures, only_mismatches, tolerance)
 
 

@@ -640,6 +640,40 @@ def discover_keys_wide(spark):
     return _key_output(found.withColumn("columns", F.sort_array("columns")))
 
 
+def _unique_pairs_sql(columns: list[str], table: str) -> str:
+    parts = [
+        f"select ['{x}', '{y}'] as columns, {i} as place_1, {j} as place_2, "
+        f"count(*) filter (where {x} is null or {y} is null) as null_rows, count(*) as n, "
+        f"(select count(*) from (select distinct {x}, {y} from {table}) d) as k from {table}"
+        for i, x in enumerate(columns)
+        for j, y in enumerate(columns)
+        if i < j
+    ]
+    return f"""select row_number() over (order by null_rows, place_1, place_2)::integer as rank,
+    array_to_string(columns, ',') as columns, 2 as n_columns, null_rows, null_rows / n::double as null_rate
+    from ({' union all '.join(parts)}) p where n = k"""
+
+
+@query(f"with t as ({WIDE}) {_unique_pairs_sql(WIDE_COLUMNS, 't')}", "lineitem")
+def smallest_keys_wide(spark):
+    """No single column is a key; all pairs that are."""
+    return _key_output(ra.smallest_keys(spark.sql(WIDE).select(*WIDE_COLUMNS)))
+
+
+LATER_LINES = f"select * replace (l_quantity + case when l_partkey % 9 = 0 then 1 else 0 end as l_quantity) from ({WIDE}) w where l_orderkey % 40 <> 0"
+
+
+@query(
+    q.counts(WIDE, LATER_LINES, ["l_orderkey", "l_linenumber"], [], [c for c in WIDE_COLUMNS[1:-1]]),
+    "lineitem",
+)
+def compare_composite_key(spark):
+    """The whole comparison without keys: no column is one, two columns are."""
+    later = spark.sql(WIDE).where("l_orderkey % 40 <> 0")
+    later = later.withColumn("l_quantity", F.expr("l_quantity + if(l_partkey % 9 = 0, 1, 0)"))
+    return ra.compare(spark.sql(WIDE).select("l_linenumber", *WIDE_COLUMNS[:-1]), later.select(*WIDE_COLUMNS)).counts()
+
+
 def _top_keys_sql(table: str, columns: list[str], n: int) -> str:
     return f"""(select columns, r as rank_f{n}, uniqueness_ratio as unique_rate_f{n}, is_unique as is_unique_f{n} from (
     select *, cast(row_number() over (order by is_unique desc, confidence desc, columns) as integer) as r
@@ -883,6 +917,28 @@ def transactional_summary(spark):
     return aggregate_summary(full, ["count", "sum_l_quantity"])
 
 
+DEARER = "select * replace (l_extendedprice + case when l_orderkey % 500 = 0 then 1 else 0 end as l_extendedprice) from lineitem"
+
+
+@query(
+    _grouped_sql(["l_suppkey"], {"sum_l_extendedprice": "sum(l_extendedprice::decimal(18, 4))"}, "select * from lineitem", DEARER)
+    .replace("x.sum_l_extendedprice as", "round(x.sum_l_extendedprice::double, 2) as")
+    .replace("y.sum_l_extendedprice as", "round(y.sum_l_extendedprice::double, 2) as"),
+    "lineitem",
+)
+def exact_sums(spark):
+    """Sums of prices per supplier: rows in another order differ nowhere, one more in some orders does."""
+    lines = spark.table("lineitem")
+    dearer = lines.withColumn("l_extendedprice", F.expr("l_extendedprice + if(l_orderkey % 500 = 0, 1, 0)"))
+    dearer = dearer.repartition(13, "l_partkey").sortWithinPartitions(F.desc("l_extendedprice"))
+    found = ra.aggregation_compare(
+        lines, dearer, ["l_suppkey"], {"sum_l_extendedprice": ra.ExactSum("l_extendedprice")}, only_mismatches=False
+    )
+    for side in ("f1", "f2"):
+        found = found.withColumn(f"sum_l_extendedprice_{side}", F.round(f"sum_l_extendedprice_{side}", 2))
+    return found
+
+
 MEASURES = {
     "lines": "count(*)", "quantity": "sum(l_quantity)", "discounts": "count(l_discount)", "top_price": "max(l_extendedprice)",
 }

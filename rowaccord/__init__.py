@@ -44,4 +44,4 @@ from .plans.report import diff_json, diff_summary, report_json, report_tables, w
 from .sources.delimited import detect_delimiter, detect_encoding, infer_types, read_delimited, table_metadata
 from .sources.workbooks import list_workbook_sheets, read_workbooks
 
-__all__ = [n for n in dir() if n[0] != "_" and n not in {"functions", "operators", "plans", "sources", "streaming"}]
+__all__ = [n for n in dir() if n[0] != "_" and n not in {"functions", "operators", "plans", "sources"}]

@@ -18,10 +18,6 @@ from ..operators.keys import discover_keys, key_columns, key_multiplicity
 from ..operators.profile import profile_columns
 from ..operators.schema import apply_column_map, compare_schemas, rename_candidates, schema_score
 
-# A preview keeps the keys whose hash falls in this many of a thousand slots.
-PREVIEW_SLOTS = 1000
-
-
 @dataclass(frozen=True)
 class CompareSpec:
     """A comparison request.
@@ -54,14 +50,22 @@ class CompareSpec:
 
 
 def preview_keys(df1: DataFrame, df2: DataFrame, keys: Sequence[str], share: float) -> tuple[DataFrame, DataFrame]:
-    """Both tables cut to the same share of keys, so that partners stay together."""
-    slots = round(share * PREVIEW_SLOTS)
-    left, right = key_columns(df1, df2, keys)
+    """Both tables cut to the same share of keys, so that partners stay together.
 
-    def cut(df: DataFrame, columns: list) -> DataFrame:
-        return df.where(F.pmod(F.xxhash64(*columns), F.lit(PREVIEW_SLOTS)) < slots)
-
-    return cut(df1, left), cut(df2, right)
+    A key is kept if its place between 0 and 1, the first 32 bits of the MD5 of its parts as text, is below the share.
+    The first key of all is kept in any case: a preview of tables with rows has rows.
+    """
+    if not 0 < share <= 1:
+        raise ValueError(f"preview must be a share above 0 and at most 1, not {share}")
+    sides = []
+    for df, columns in zip((df1, df2), key_columns(df1, df2, keys)):
+        parts = [F.coalesce(c.cast("string"), F.lit("\0")) for c in columns]
+        digits = F.substring(F.md5(F.concat_ws("\1", *parts)), 1, 8)
+        sides.append((df, F.conv(digits, 16, 10).cast("double") / 2**32))
+    least = [df.agg(F.min(place)).first()[0] for df, place in sides]
+    first = min((x for x in least if x is not None), default=0.0)
+    one, two = (df.where((place < share) | (place == first)) for df, place in sides)
+    return one, two
 
 
 class Comparison:

@@ -84,9 +84,11 @@ def diff_json(diff: Diff, sample_rows: int = JSON_SAMPLE_ROWS) -> DataFrame:
 
 
 def _json_rows(df: DataFrame, column: str) -> DataFrame:
-    """A table of a few rows per column or check, as one JSON array in one row."""
-    rows = df.select(F.to_json(F.struct("*")).alias("r")).groupBy().agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return rows.select(F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias(column))
+    """A table of a few rows per column or check, as one JSON array in one row, by position where it has one."""
+    place = F.col("position") if "position" in df.columns else F.lit(0)
+    rows = df.select(F.struct(place.alias("place"), F.to_json(F.struct("*")).alias("r")).alias("x"))
+    rows = rows.groupBy().agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    return rows.select(F.concat(F.lit("["), F.array_join("rows.r", ","), F.lit("]")).alias(column))
 
 
 def report_json(c: Comparison) -> DataFrame:

@@ -33,51 +33,47 @@ COLUMNS_PER_SCAN = 40
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     """One row: ``encoding, confidence, has_bom``, from every line of the files.
 
-    A byte order mark decides; then UTF-8 if all lines are valid UTF-8. Other bytes are
+    A byte order mark at the start of a file decides; then UTF-8 if all lines are valid UTF-8. Other bytes are
     taken for windows-1252 when bytes 80–9F occur, which are control characters in
     ISO-8859-1, and for ISO-8859-1 otherwise.
     """
     # Lines come as raw bytes, whatever the encoding.
     bytes_ = "CAST(value AS BINARY)"
-    lines = spark.read.text(path).selectExpr(
-        "value", f"hex(substr({bytes_}, 1, 2)) AS h", f"decode({bytes_}, 'ISO-8859-1') AS latin"
-    )
+    lines = spark.read.text(path).selectExpr("value", f"decode({bytes_}, 'ISO-8859-1') AS latin")
     found = lines.groupBy().agg(
         F.coalesce(F.bool_and(F.expr("is_valid_utf8(value)")), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_or(F.col("h").startswith("FFFE")), F.lit(False)).alias("le"),
-        F.coalesce(F.bool_or(F.col("h").startswith("FEFF")), F.lit(False)).alias("be"),
         F.coalesce(F.bool_or(F.expr("latin RLIKE '[\\u0080-\\u009F]'")), F.lit(False)).alias("c1"),
     )
-    # The text reader drops a UTF-8 mark, so the first bytes come from the file itself.
-    marked = F.lit(_utf8_mark(spark, path))
-    encoding = (
-        F.when(marked, "utf-8-sig")
-        .when(F.col("le"), "utf-16-le")
-        .when(F.col("be"), "utf-16-be")
-        .when(F.col("utf8"), "utf-8")
-        .when(F.col("c1"), "cp1252")
-        .otherwise("latin-1")
-    )
-    has_bom = marked | F.col("le") | F.col("be")
-    confidence = F.when(has_bom, 1.0).when(F.col("utf8"), 0.99).otherwise(0.5)
-    return found.select(encoding.alias("encoding"), confidence.alias("confidence"), has_bom.alias("has_bom"))
+    # The text reader drops marks and lines may begin with the same bytes, so they come from the files themselves.
+    mark = _mark(spark, path)
+    if mark:
+        return found.select(F.lit(mark).alias("encoding"), F.lit(1.0).alias("confidence"), F.lit(True).alias("has_bom"))
+    encoding = F.when(F.col("utf8"), "utf-8").when(F.col("c1"), "cp1252").otherwise("latin-1")
+    confidence = F.when(F.col("utf8"), 0.99).otherwise(0.5)
+    return found.select(encoding.alias("encoding"), confidence.alias("confidence"), F.lit(False).alias("has_bom"))
+
+
+# The byte order marks.
+MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}
 
 
-def _utf8_mark(spark: SparkSession, path: str) -> bool:
-    """Whether any file below a path starts with the bytes EF BB BF; reads three bytes of each until one does."""
+def _mark(spark: SparkSession, path: str) -> str | None:
+    """The encoding that the first bytes of some file below a path name; reads three bytes of each until one does."""
     conf = spark._jsc.hadoopConfiguration()
 
-    def marked(file: str) -> bool:
+    def marked(file: str) -> str | None:
         target = spark._jvm.org.apache.hadoop.fs.Path(file)
         stream = target.getFileSystem(conf).open(target)
         try:
-            return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+            start = bytes(b for b in (stream.read() for _ in range(3)) if b >= 0)
         finally:
             stream.close()
+        return next((name for mark, name in MARKS.items() if start.startswith(mark)), None)
 
     files = sorted(spark.read.text(path).inputFiles())
     with ThreadPoolExecutor(16) as pool:
-        return any(any(pool.map(marked, part)) for part in chunks(files, 256))
+        names = (name for part in chunks(files, 256) for name in pool.map(marked, part))
+        return next(filter(None, names), None)
 
 
 def _reader_encoding(spark: SparkSession, encoding: str) -> str:
@@ -164,8 +160,9 @@ def read_delimited(
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Type text columns from all their values: bigint, double, boolean, else text.
 
-    A column gets a type only if every present value reads as it, so no value is lost.
-    Dates stay text. One counting job decides; the casts are lazy.
+    A column gets a type only if every present value reads as it. Numbers that a type would show otherwise stay text,
+    so that codes such as ``00501`` are kept: no value of the column may begin with ``+`` or with a zero before another
+    digit. Dates stay text. One counting job decides; the casts are lazy.
     """
     require_distinct_names(df)
     names = [f.name for f in df.schema.fields if text.is_text(f.dataType)]
@@ -181,12 +178,13 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
                 f"count_if({parsing.is_integer(c)}) AS i{i}",
                 f"count_if({parsing.is_float(c)}) AS f{i}",
                 f"count_if({parsing.is_boolean(c)}) AS b{i}",
+                f"count_if({c} RLIKE '^\\\\s*([+]|-?0[0-9])') AS z{i}",
             ]
         row = df.groupBy().agg(*[F.expr(a) for a in aggs]).first()
         for i, n in enumerate(part):
             present = row[f"n{i}"]
             for counter, dtype in (("i", "bigint"), ("f", "double"), ("b", "boolean")):
-                if present and row[f"{counter}{i}"] == present:
+                if present and row[f"{counter}{i}"] == present and (counter == "b" or not row[f"z{i}"]):
                     types[n] = dtype
                     break
     return df.selectExpr(

@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 import rowaccord as ra
 from rowaccord.plans import report
@@ -38,7 +39,7 @@ def test_detect_encoding(spark, tmp_path, data, encoding, bom):
 
 
 def test_a_late_byte_decides(spark, tmp_path):
-    data = b"id,name\n" + b"1,plain text\n" * 20000 + b"2,Ren\xe9\n"
+    data = b"shelf;herb\n" + b"14;dried thyme\n" * 20000 + b"15;menthe poivr\xe9e\n"
     assert only(ra.detect_encoding(spark, put(tmp_path / "f.csv", data)))["encoding"] == "latin-1"
 
 
@@ -248,3 +249,33 @@ def test_run_log(spark, tmp_path):
     assert only(report.get_run(report.read_runs(spark, log), "b"))["table1"] == "t1"
     report.clear_runs(spark, log)
     assert report.latest_runs(report.read_runs(spark, log)).count() == 0
+
+
+def test_marks_count_at_the_start_of_a_file_only(spark, tmp_path):
+    data = b"nr,dish\n" + b"\xff\xfe5,p\xe2t\xe9\n"
+    assert only(ra.detect_encoding(spark, put(tmp_path / "f.csv", data))) == {"encoding": "latin-1", "confidence": 0.5, "has_bom": False}
+    assert only(ra.detect_encoding(spark, put(tmp_path / "e.csv", b"")))["has_bom"] is False
+
+
+def test_codes_with_leading_zeros_stay_text(spark):
+    rows = [("00501", "7", "+49", "0.5", "-0", "-07", "0"), ("10001", "12", "+1", "10.25", "3", "5", "1")]
+    df = ra.infer_types(spark.createDataFrame(rows, "zip string, n string, dial string, x string, z string, s string, b string"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert types["zip"] == types["dial"] == types["s"] == "string" and df.first().zip == "00501"
+    assert (types["n"], types["x"], types["z"]) == ("bigint", "double", "bigint")
+
+
+def test_rows_of_json_stand_by_position(spark):
+    import json
+
+    from rowaccord.plans.report import _json_rows
+
+    df = spark.range(13).selectExpr("id AS position", "concat('c', id) AS column").repartition(4)
+    assert [r["position"] for r in json.loads(_json_rows(df, "j").first()["j"])] == list(range(13))
+
+
+def test_no_preview_is_empty(spark):
+    df = spark.range(50).selectExpr("id", "id AS v")
+    assert only(ra.compare(df, df.withColumn("v", F.lit(1)), keys=["id"], preview=1e-9).counts())["rows_scanned"] == 1
+    with pytest.raises(ValueError, match="preview"):
+        ra.compare(df, df, keys=["id"], preview=0.0)

@@ -172,3 +172,88 @@ def test_common_subsequences():
         found = h.common(a, b)
         assert len(found) == best[-1][-1] and all(a[i] == b[k] for i, k in found)
         assert all(x < u and y < v for (x, y), (u, v) in zip(found, found[1:]))
+
+
+def news(i, body="", after="", before=""):
+    article = f"<h1>Title {i}</h1>" + "".join(f"<p>Paragraph {k} of story {i} has its own words {i * 7 + k}.</p>" for k in range(3))
+    return f"<html><body><div class=top>The Site</div>{before}<article>{article}{body}</article>{after}<div class=z>Rights</div></body></html>"
+
+
+def news_text(i, *more):
+    return "\n\n".join([f"Title {i}", *(f"Paragraph {k} of story {i} has its own words {i * 7 + k}." for k in range(3)), *more])
+
+
+def test_reader_comments_are_no_article():
+    for label in ("comments", "comment-list", "user-comments"):
+        pages = [news(i, after=f"<div class={label}>" + "".join(f"<div><b>Reader {k}{i}</b><p>{f'I think {i} ' * 40}</p></div>" for k in range(5)) + "</div>") for i in range(6)]
+        w = h.infer(pages)
+        assert w["tagged"] and [h.extract(p, w) for p in pages] == [news_text(i) for i in range(6)], label
+    own = "<article class=comment><p>Reader</p></article>"
+    assert h.extract(news(1, after=own * 9)) == news_text(1)
+
+
+def untagged(i, latest):
+    links = "".join(f"<li><a href=/{k}>Story {k} of {i}</a></li>" for k in range(4))
+    latest = {"list": f"<div class=l><h3>Latest</h3><ul>{links}</ul></div>", "inside": ""}[latest]
+    menu = "<div class=m><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></div><div class=n><p>We moved offices</p></div>"
+    body = f"<div class=c><h1>Title {i}</h1><p>{f'Words of {i} ' * 20}</p><div class=d><p>Tail {i}</p></div></div>"
+    return f"<html><body>{menu}{body}{latest}<div class=z>Rights</div></body></html>"
+
+
+@pytest.mark.parametrize("latest", ["list", "inside"])
+def test_varying_links_do_not_widen_the_content(latest):
+    pages = [untagged(i, latest) for i in range(6)]
+    w = h.infer(pages)
+    assert w["root"] == ["html", "body", "div.c"]
+    assert h.extract(pages[3], w) == f"Title 3\n\n{('Words of 3 ' * 20).strip()}\n\nTail 3"
+
+
+def test_menus_in_the_content_are_left_out():
+    pages = [untagged(i, "inside").replace("<div class=z>", f"<p>Seen {i * 31} times</p><div class=z>") for i in range(6)]
+    w = h.infer(pages)
+    assert w["root"] == ["html", "body"]
+    assert h.extract(pages[2], w) == f"Title 2\n\n{('Words of 2 ' * 20).strip()}\n\nTail 2\n\nSeen 62 times"
+    # A heading that all articles share stays, alone in a container too, and so does a list of words.
+    pages = [news(i, body=f"<div><h2>Tools</h2></div><ul><li>Saw</li><li>File</li></ul><p>End {i}</p>") for i in range(6)]
+    assert h.extract(pages[4], h.infer(pages)) == news_text(4, "Tools", "Saw", "File", "End 4")
+
+
+@pytest.mark.parametrize("label", ["side-bar", "cookie-notice", "ad-slot", "site-footer", "comment-list", "user_comments"])
+def test_parts_of_class_names(label):
+    assert h.extract(f"<body><div class='x {label}'>other</div><p>some running text</p></body>") == "some running text"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a <span hidden>b <span>c</span></span>d</p>", "a d"), ("<p>a <span class='ad'>b</span>d</p><p>e", "a d\n\ne"),
+        ("<p>a <span hidden>b</p><p>c</p>", "a\n\nc"), ("<article><p class=related>x</p><p>y</p></article>", "x\n\ny"),
+        ("<pre>a <span class=comment>b</span></pre>", "a b"), ("<p>a <a class=related href=x>b</a></p>", "a b"),
+        ("<body><div class=has-sidebar><p>x</p></div><p>y z</p></body>", "x\n\ny z"),
+        ("<body><div class='layout sidebar-page'><article><p>x</p></article><p>y</p></div><p>long other text</p></body>", "x"),
+        ("<body><div class=comments><p>only this</p></div></body>", "only this"),
+    ],
+)
+def test_attributes(page, text):
+    assert h.extract(page) == text
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_made_sites(seed):
+    """Pages put together from known articles and known other parts: the articles come out, and nothing else."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    menu = f"<div class={word()}><ul>" + "".join(f"<li><a href=/{k}>{word()}</a></li>" for k in range(rng.randint(2, 6))) + "</ul></div>"
+    notice, footer = f"<div class={word()}><p>{text(12)}</p></div>", f"<footer>{text(6)}</footer>"
+    tag, box = rng.choice(["article", "main", "div class=story", "section class=s"]), rng.choice(["", "comments", "reader-comments", "related-posts", "ad-box"])
+    pages, want = [], []
+    for _ in range(6):
+        blocks = [("h1", text(4))] + [(rng.choice(["p", "p", "p", "blockquote", "h2"]), text(rng.randint(5, 60))) for _ in range(rng.randint(3, 9))]
+        body = "".join(f"<{name}>{t}</{name}>" for name, t in blocks)
+        latest = "<div class=latest><ul>" + "".join(f"<li><a href=/x>{text(5)}</a></li>" for _ in range(rng.randint(2, 5))) + "</ul></div>"
+        extra = f"<div class='{box}'><p>{text(rng.randint(5, 30))}</p></div>" if box else ""
+        pages.append(f"<html><body><div class=top>{menu}{notice}</div><{tag}>{body}</{tag.split()[0]}>{extra}{latest}{footer}</body></html>")
+        want.append("\n\n".join(t for _, t in blocks))
+    w = h.infer(pages)
+    assert [h.extract(p, w) for p in pages] == want

@@ -24,6 +24,14 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` begins with."""
+    name = f"_{name}"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def by_batch(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """Apply ``f`` to the columns of each Arrow batch of ``df``; it returns the columns of ``schema``.
 

@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import by_batch, id_and_text, settled
+from rowaccord.functions.names import col
+
+from .common import by_batch, free_name, id_and_text, settled
 
 #: The id 0 that ends a document.
 MARK = bytes(4)
@@ -45,7 +47,8 @@ RANK_BUCKETS = 256
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, as ``tokenizers`` gives them.
 
-    Texts of plain Latin letters take the faster of two public libraries, fed with the same vocabulary and merges;
+    An added token of the vocabulary, such as its end mark, is one id wherever its string stands in a text; a text that
+    holds one is never cut into blocks. Texts of plain Latin letters take the faster of two public libraries, fed with the same vocabulary and merges;
     others, and vocabularies whose ids are not in the order of their merges, do not. Very long texts are encoded in
     blocks that end before a space between two letters, where the byte-level pattern always begins a new piece.
     """
@@ -57,10 +60,10 @@ class Encoder:
 
     def __init__(self, path: str, block: int = 1 << 20):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.block = block
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        self.added = [t["content"] for t in model.get("added_tokens", [])]
         self.fast = self._fast(model["model"], model.get("pre_tokenizer") or {})
 
     def _fast(self, model: dict, pattern: dict) -> tiktoken.Encoding | None:
@@ -84,9 +87,10 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of one document, with the end mark."""
-        out = []
-        for part in self._blocks(text or ""):
-            if self.fast is not None and self._PLAIN.fullmatch(part):
+        text, out = text or "", []
+        special = any(t in text for t in self.added)
+        for part in [text] if special else self._blocks(text):
+            if self.fast is not None and not special and self._PLAIN.fullmatch(part):
                 ids = self.fast.encode_ordinary(part)
             else:
                 ids = self.tokenizer.encode(part, add_special_tokens=False).ids
@@ -347,33 +351,40 @@ def runs(plan: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int, int,
 def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """Give each row of ``pieces`` (id, piece, length and any others) its ``sequence_id`` and ``offset``.
 
-    Rows with a length outside 1 to ``capacity`` cannot be packed and raise. Repeated rows are packed one by one,
-    rows with null ids as well, an empty table gives no rows. The driver sees one count per length.
+    Rows with a null length or one outside 1 to ``capacity`` cannot be packed and raise. Repeated rows are packed one by
+    one, rows with null ids as well, an empty table gives no rows. Other columns stay, but for earlier ones named
+    ``sequence_id`` or ``offset``, which are replaced. The driver sees one count per length.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(RANK_BUCKETS)))
-    cells = settled(salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "pack-counts")
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    if any(not 1 <= x <= capacity for x in counts):
+    own = free_name(pieces, "place")
+    bucket, row = F.col(f"{own}.bucket"), F.col(f"{own}.row")
+    salted = pieces.withColumn(own, F.struct(F.pmod(F.xxhash64(id_col, "piece"), F.lit(RANK_BUCKETS)).alias("bucket")))
+    cells = settled(salted.groupBy(F.col("length").alias("l"), bucket.alias("b")).agg(F.count("*").alias("n")), "pack-counts")
+    counts = {r["l"]: r["n"] for r in cells.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    if any(x is None or not 1 <= x <= capacity for x in counts):
         raise ValueError("pieces must have lengths from 1 to the capacity")
     plan = spark.createDataFrame(
         runs(bin_completion(counts, capacity)),
-        "_l bigint, _from bigint, _to bigint, _per bigint, _sequence bigint, _offset bigint",
+        "l bigint, first bigint, last bigint, per bigint, sequence bigint, offset bigint",
     )
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    in_cell = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece")
+    before = F.sum("n").over(Window.partitionBy("l").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.select(F.struct("l", "b", F.coalesce(before, F.lit(0)).alias("before")).alias(f"{own}_cell"))
+    plan = plan.select(F.struct("*").alias(f"{own}_run"))
+    in_cell = Window.partitionBy("length", bucket).orderBy(id_col, "piece")
+    ranked = salted.withColumn(own, F.struct(bucket.alias("bucket"), F.row_number().over(in_cell).alias("row")))
     # At most capacity x RANK_BUCKETS offsets and a few thousand runs: both fit any executor.
-    ranked = salted.withColumn("_row", F.row_number().over(in_cell)).join(F.broadcast(offsets), ["length", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    cell = {k: F.col(f"{own}_cell.{k}") for k in ("l", "b", "before")}
+    ranked = ranked.join(F.broadcast(offsets), (F.col("length") == cell["l"]) & (bucket == cell["b"]))
+    rank = cell["before"] + row - 1
+    run = {k: F.col(f"{own}_run.{k}") for k in plan.schema[0].dataType.names}
     placed = ranked.join(
-        F.broadcast(plan), (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+        F.broadcast(plan), (F.col("length") == run["l"]) & (rank >= run["first"]) & (rank < run["last"])
     )
-    k = F.col("_rank") - F.col("_from")
+    k = rank - run["first"]
     return placed.select(
-        *pieces.columns,
-        (F.col("_sequence") + F.floor(k / F.col("_per"))).alias("sequence_id"),
-        (F.col("_offset") + F.pmod(k, F.col("_per")) * F.col("length")).alias("offset"),
+        *(col(c) for c in pieces.columns if c not in ("sequence_id", "offset")),
+        (run["sequence"] + F.floor(k / run["per"])).alias("sequence_id"),
+        (run["offset"] + F.pmod(k, run["per"]) * F.col("length")).alias("offset"),
     )
 
 
@@ -383,7 +394,8 @@ def packed_sequences(
     """One row (sequence_id, length, ids, members) per training sequence: the ids themselves, in order.
 
     ``members`` lists (id, piece, start, length, offset). A sequence holds at most ``capacity`` ids, so a
-    group is small.
+    group is small. Null texts are empty documents, repeated rows and rows with null ids are packed one by one, other
+    columns are ignored, and an empty table gives no rows.
     """
     pieces = settled(document_pieces(docs, tokenizer, capacity, id_col, text_col), "pack-pieces")
     placed = pack(pieces.drop("ids"), capacity, id_col).withColumn("_copy", _copy_of(id_col))

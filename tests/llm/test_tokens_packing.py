@@ -49,9 +49,8 @@ def test_counts_of_rows(spark):
 @pytest.mark.parametrize("block", [1 << 20, 7])
 def test_ids_of_the_public_tokenizer(block):
     public = Tokenizer.from_file(BPE)
-    public.encode_special_tokens = True
     encode = p.Encoder(BPE, block)
-    texts = odd_texts(2)
+    texts = [*odd_texts(2), "a <|endoftext|> b", "a b c d e f<|endoftext|><|endoftext|>g h i j", "é<|endoftext|>", "<|endoftext| > x"]
     assert [encode(t) for t in texts] == [np.array([*e.ids, 0], dtype="<u4").tobytes() for e in public.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -138,3 +137,14 @@ def test_pack(spark):
     whole = Tally(zlib.crc32(r["ids"]) for r in pieces.collect())
     assert whole == Tally(zlib.crc32(r["ids"][4 * m["offset"] : 4 * (m["offset"] + m["length"])]) for r in sequences for m in r["members"])
     assert p.pack(p.document_pieces(docs.limit(0), BPE).drop("ids")).collect() == []
+
+
+def test_pack_keeps_other_columns(spark):
+    own = {"_bucket": "b", "_place": "p", "l": "l", "n": "n", "first": "f", "a.b": "d", "offset": "old"}
+    schema = "doc_id bigint, piece int, length bigint, " + ", ".join(f"`{c}` string" for c in own)
+    pieces = spark.createDataFrame([(i, 0, 3 + i % 4, *own.values()) for i in range(40)], schema)
+    rows = [r.asDict() for r in p.pack(pieces, 10).collect()]
+    assert len(rows) == 40 and all({k: v for k, v in r.items() if k in own} == {**own, "offset": r["offset"]} for r in rows)
+    assert sum(r["length"] for r in rows) == 40 * 4.5 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 40
+    with pytest.raises(ValueError):
+        p.pack(spark.createDataFrame([(1, 0, None)], "doc_id bigint, piece int, length bigint"), 10)

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from rowaccord.functions.names import col
+
+from .common import free_name, settled
 
 WINDOW = 10
 #: Windows that may be broadcast: 500,000 rows of ten words are about 100 MB.
@@ -137,21 +139,22 @@ def remove_spans(
 
     Where the hit words are at least ``least_share`` of a document's words the document goes; otherwise each run of
     hit words is cut out of its text, with the separators inside the run, and the words around it stay. Documents
-    without hits are unchanged, byte by byte.
+    without hits are unchanged, byte by byte: null and empty texts too. Repeated rows have equal results, rows with null
+    ids are treated alike, columns of any other name stay as they are. Without items nothing changes.
     """
     _, hits, _ = _scan(docs, items, window, id_col, text_col, item_col, item_text)
-    runs = F.sort_array(F.collect_list(F.struct("first", "end")))
-    cut = spans(hits).groupBy("rid").agg(runs.alias("_runs"), F.sum(F.col("end") - F.col("first")).alias("_hit"))
-    cut = cut.withColumnRenamed("rid", "_rid")
-    text = docs[text_col].cast("string")
-    marked = docs.withColumn("_key", _row_key(docs[id_col], text)).join(cut, F.col("_key").eqNullSafe(F.col("_rid")), "left")
+    own = free_name(docs, "leak")
+    runs = F.sort_array(F.collect_list(F.struct("first", "end"))).alias("runs")
+    cut = spans(hits).groupBy("rid").agg(runs, F.sum(F.col("end") - F.col("first")).alias("n"))
+    cut = cut.select(F.struct("rid", "runs", "n").alias(f"{own}_cut"))
+    body = docs[text_col].cast("string")
+    marked = docs.withColumn(own, _row_key(docs[id_col], body))
+    marked = marked.join(cut, F.col(own).eqNullSafe(F.col(f"{own}_cut.rid")), "left")
     # Words and separators of a hit text in turns: the k-th word with the separators that follow it.
-    body = F.col(text_col).cast("string")
+    body, cuts = col(text_col).cast("string"), F.col(f"{own}_cut.runs")
     pieces = F.regexp_extract_all(body, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), 1)
-    kept = F.filter(
-        pieces, lambda _, i: ~F.exists(F.col("_runs"), lambda r: (i >= r["first"]) & (i < r["end"]))
-    )
+    kept = F.filter(pieces, lambda _, i: ~F.exists(cuts, lambda r: (i >= r["first"]) & (i < r["end"])))
     cleaned = F.concat(F.regexp_extract(body, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0), F.array_join(kept, ""))
-    keep = F.col("_runs").isNull() | (F.col("_hit") < least_share * F.size(pieces))
-    new = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(cleaned)
-    return marked.where(keep).withColumn(text_col, new).select(*docs.columns)
+    keep = cuts.isNull() | (F.col(f"{own}_cut.n") < least_share * F.size(pieces))
+    new = F.when(cuts.isNull(), col(text_col)).otherwise(cleaned)
+    return marked.where(keep).withColumn(text_col, new).select(*(col(c) for c in docs.columns))

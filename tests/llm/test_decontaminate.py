@@ -67,3 +67,12 @@ def test_remove(spark):
     assert d.remove_spans(docs, items.limit(0)).count() == 5
     assert d.contamination(docs.limit(0), items).collect() == []
     assert [r["n_hit"] for r in d.contamination(docs, items.limit(0)).collect()] == [0] * 5
+
+
+def test_remove_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"q{i}" for i in range(12))
+    names = ["_key", "_runs", "_hit", "_leak", "rid", "a.b"]
+    docs = spark.createDataFrame([(1, f"x y z {passage}", *names), (None, None, *names)], "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = d.remove_spans(docs, spark.createDataFrame([(7, passage)], "item_id bigint, text string"), least_share=0.9)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "x y z ", *names), (None, None, *names)]

@@ -137,24 +137,35 @@ def calibrate(model: Language, texts: list[str], y: np.ndarray, error: float) ->
 
 
 def fit_language(
-    docs: DataFrame, learn: Column, rows_per_language: int = 800, most_languages: int | None = None, **options
+    docs: DataFrame,
+    learn: Column,
+    rows_per_language: int = 800,
+    most_languages: int | None = None,
+    row_chars: int = 6000,
+    sample_chars: int = 32_000_000,
+    **options,
 ) -> Language:
     """A model fitted on a bounded sample: per language about ``rows_per_language`` rows, chosen by their hashes.
 
-    ``learn`` says which rows may be learnt from; rows without language or letters are not. All languages that occur are
-    learnt, or the ``most_languages`` most frequent ones if given. The first 6,000 characters of a row are used, and
-    of these ``fit`` trains on 4,096 bytes.
+    ``learn`` says which rows may be learnt from; rows without language or letters are not, and repeated rows are one. All
+    languages that occur are learnt, or the ``most_languages`` most frequent ones if given. A row gives a part of at most
+    ``row_chars`` characters, of which ``fit`` trains on 4,096 bytes; it lies at a place drawn by hash from its whole text.
+    Where the sample would hold more than ``sample_chars`` characters, its parts are shorter, so the driver holds a
+    bounded sample whatever the number of languages. Without rows the model predicts ``und``.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
     sizes = (counts if most_languages is None else counts.limit(most_languages)).collect()
     shares = docs.sparkSession.createDataFrame([(r["lang"], rows_per_language / r["n"]) for r in sizes], "lang string, p double")
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(F.broadcast(shares), "lang").where(hashed < F.col("p"))
     most = 2 * rows_per_language * len(sizes)
-    found = sample.select("lang", F.substring("text", 1, 6000).alias("text"), F.xxhash64("doc_id").alias("h")).limit(most).collect()
-    found = sorted((r["h"], r["lang"], r["text"]) for r in found if letters(r["text"]))
-    return fit([t for _, _, t in found], [n for _, n, _ in found], **options)
+    chars = max(1, min(row_chars, 2 * sample_chars // max(most, 1)))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    part = F.substring("text", start.cast("int"), F.lit(chars)).alias("text")
+    parts = sample.select(F.xxhash64("doc_id").alias("h"), "lang", part).distinct().orderBy("h", "lang", "text").limit(most)
+    found = [(r["lang"], r["text"]) for r in parts.collect() if letters(r["text"])]
+    return fit([t for _, t in found], [n for n, _ in found], **options)
 
 
 def languages(

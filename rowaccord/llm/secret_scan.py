@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, id_and_text
+from .common import by_batch, id_and_text, settled
 
 LONG = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
 _BLANK = r"(?:\s{0,3}|[^\S\r\n]*+)"
@@ -29,6 +30,8 @@ NAMED = re.compile(
     re.I,
 )
 CONTEXT = 24
+#: Words that made findings are put together from, drawn by hash.
+MOST_WORDS = 20_000
 MARK = "[secret]"
 
 
@@ -282,7 +285,8 @@ def key_shaped(f: Finding) -> bool:
 def examples(texts: list[str], n: int, seed: int = 5) -> tuple[list[Finding], list[int]]:
     """Findings made by rule around words of ``texts``: keys of common shapes, and what is often taken for one."""
     rng = np.random.default_rng(seed)
-    words = sorted({w for t in texts for w in _WORD.findall(t)})[:20_000] or ["word"]
+    every_word = {w for t in texts for w in _WORD.findall(t)}
+    words = sorted(every_word, key=lambda w: (zlib.crc32(w.encode()), w))[:MOST_WORDS] or ["word"]
     word = lambda: words[rng.integers(len(words))]
     letters = "abcdefghijklmnopqrstuvwxyz"
     every = letters + letters.upper() + "0123456789"
@@ -313,20 +317,44 @@ def examples(texts: list[str], n: int, seed: int = 5) -> tuple[list[Finding], li
 def fit_from_documents(docs: DataFrame, learn: Column, most_findings: int = 3000, most_texts: int = 400) -> SecretModel:
     """A model from a bounded sample of the documents that ``learn`` admits, chosen by their hashes.
 
-    Documents with candidates give findings, labelled by ``label``, from the first 20,000 characters; as many are made by
-    ``examples`` from words of ``most_texts`` documents. The corpus's pairs and trigrams are counted in all documents.
+    Of at most a third of ``most_findings`` whole documents with candidates, at most ``most_findings`` findings are
+    drawn by hash and labelled by ``label``; as many are made by ``examples`` from words of ``most_texts`` whole
+    documents, drawn by hash too. The corpus's pairs and trigrams are counted in all documents. Repeated rows are drawn
+    once, null texts teach nothing; without documents the made findings teach alone.
     """
-    text = F.substring(F.col("text").cast("string"), 1, 20_000)
-    rows = docs.where(learn & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), text.alias("text"))
-    words = [r["text"] for r in rows.orderBy("h").limit(most_texts).collect()]
+    text = F.col("text").cast("string")
+    rows = docs.where(learn & text.isNotNull()).select(F.xxhash64(docs["doc_id"], text).alias("h"), text.alias("text"))
     likely = rows.where(F.col("text").rlike(r"[A-Za-z0-9+/_\-]{16,}") & F.col("text").rlike(r"[0-9][A-Za-z0-9+/_\-]{11,}|[=:]"))
-    texts = [r["text"] for r in likely.orderBy("h").limit(most_findings // 3).collect()]
-    real = [f for t in texts for f in candidates(t) if not key_shaped(f)][:most_findings]
-    made, of_made = examples(words, max(len(real), 600))
+
+    def listed(batch: dict[str, list]) -> dict[str, list]:
+        found = [(h, f) for h, t in zip(batch["h"], batch["text"]) for f in candidates(t) if not key_shaped(f)]
+        columns = zip(*[(h, f.start, f.end, f.text, f.before, f.after, f.named) for h, f in found]) if found else [()] * 7
+        return dict(zip(("h", "start", "end", "text", "before", "after", "named"), map(list, columns)))
+
+    schema = "h bigint, start bigint, end bigint, text string, before string, after string, named boolean"
+    drawn = by_batch(least_hashes(likely, "h", most_findings // 3), listed, schema)
+    drawn = settled(drawn.withColumn("place", F.xxhash64("h", "start", "end")), "secret-findings")
+    chosen = least_hashes(drawn, "place", most_findings).collect()
+    real = [Finding(r["start"], r["end"], r["text"], r["before"], r["after"], r["named"]) for r in sorted(chosen, key=lambda r: (r["place"], r["text"]))]
+
+    words = by_batch(
+        least_hashes(rows, "h", most_texts), lambda b: {"w": sorted({w for t in b["text"] for w in _WORD.findall(t)})}, "w string"
+    )
+    words = settled(words.distinct().withColumn("h", F.xxhash64("w")), "secret-words")
+    made, of_made = examples([r["w"] for r in least_hashes(words, "h", MOST_WORDS).collect()], max(len(real), 600))
     found = real + made
     return fit_secrets(found, [label(f) for f in real] + of_made, corpus_grams(docs, {p for f in found for p in _parts(f.text)}))
 
 
+def least_hashes(df: DataFrame, hash_col: str, n: int) -> DataFrame:
+    """One row of ``df`` for each of the ``n`` least values of ``hash_col``.
+
+    The last of these values is found from hashes alone, so other columns of only the chosen rows are moved.
+    """
+    last = df.select(hash_col).distinct().orderBy(hash_col).limit(n).agg(F.max(hash_col)).first()[0]
+    return df.where(F.lit(False) if last is None else F.col(hash_col) <= last).dropDuplicates([hash_col])
+
+
 def corpus_grams(docs: DataFrame, wanted: set[str]) -> dict[str, int]:
     """``grams`` of the whole texts of all documents: those of ASCII letters, of candidates, and the ``wanted`` ones.
 

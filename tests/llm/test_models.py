@@ -144,3 +144,33 @@ def test_every_language_is_learnt(spark):
     assert lang.fit_language(docs, F.lit(True), epochs=1).names == sorted({r[2] for r in rows})
     assert len(lang.fit_language(docs, F.lit(True), most_languages=3, epochs=1).names) == 3
     assert lang.fit_language(docs.limit(0), F.lit(True)).names == []
+
+
+def test_language_learns_from_whole_texts(spark):
+    rows = [(i, "0123456789 " * 1000 + ("alpha river stone " if i % 2 else "über äußer straße ") * 2000, "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:2] * 30], "doc_id bigint, text string, lang string").repartition(4)
+    known = lang.fit_language(docs, F.lit(True), sample_chars=120 * 1500)
+    assert known.predict("the river alpha stone")[0] == "en" and known.predict("äußer über straße")[0] == "de"
+
+
+def test_planted_secrets(spark):
+    """Recall and precision on documents that the model has not learnt from, against a scan of the planted places."""
+    rng = np.random.default_rng(8)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet)) for _ in range(n))
+    rows, truth = [], {}
+    for i in range(400):
+        text = good(rng)
+        if i % 4 == 0:
+            key = draw("0123456789abcdef", 40)
+            text = f'{text} token = "{key}" {good(rng)}'
+            truth[i] = {(text.index(key), 40)}
+        elif i % 4 == 1:
+            text += f" see alpha/river/{rng.integers(1000, 9999)}/stone-under and order {draw('0123456789', 18)}"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = sec.fit_from_documents(docs.where("doc_id < 200"), F.lit(True))
+    held = docs.where("doc_id >= 200")
+    found = {(r["doc_id"], r["start"], r["length"]) for r in sec.secrets(held, model).collect() if r["is_secret"]}
+    planted = {(i, a, n) for i, places in truth.items() if i >= 200 for a, n in places}
+    assert len(planted & found) >= 0.95 * len(planted) and len(found - planted) <= 0.05 * len(planted)
+    assert found == {(i, f.start, f.end - f.start) for i, t in rows[200:] for f, s in model.findings(t) if s >= model.least_score}

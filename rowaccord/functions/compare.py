@@ -57,10 +57,22 @@ def normalize_text(c: str, rules: IgnoreRules) -> str:
     return c
 
 
+def only_exact_text(t1: T.DataType, t2: T.DataType) -> bool:
+    """Whether no type holds all values of both: a double cannot tell large bigints apart, see ``text.exact_number``."""
+    return any(isinstance(x, T.LongType) and text.is_float(y) for x, y in ((t1, t2), (t2, t1)))
+
+
+def key_text(c: str, t: T.DataType, other: T.DataType) -> str:
+    """Text of a key whose columns have no common type."""
+    return text.exact_number(c, t) if only_exact_text(t, other) else text.render(c, t)
+
+
 def common_type(t1: T.DataType, t2: T.DataType) -> T.DataType | None:
     """The type in which two columns compare natively; None means compare their text."""
     if t1 == t2:
         return t1
+    if only_exact_text(t1, t2):
+        return None
     if isinstance(t1, T.NumericType) and isinstance(t2, T.NumericType):
         if text.is_float(t1) or text.is_float(t2):
             return T.DoubleType()
@@ -89,6 +101,8 @@ class ComparedColumn:
 
     def semantic(self, c1: str, c2: str) -> tuple[str, str]:
         """Both values in comparable form, after the ignore rules."""
+        if only_exact_text(self.type_1, self.type_2):
+            return text.exact_number(c1, self.type_1), text.exact_number(c2, self.type_2)
         native = self._native
         if native is None:
             return (

@@ -96,6 +96,18 @@ def render(c: str, t: T.DataType) -> str:
     return f"CAST({c} AS STRING)"
 
 
+def exact_number(c: str, t: T.DataType) -> str:
+    """Text in which a bigint and a float are equal exactly if they are the same number; null stays null.
+
+    A float that is a whole number in the range of bigint is written as that number, every other one as itself.
+    """
+    if not is_float(t):
+        return f"CAST({c} AS STRING)"
+    d = f"CAST({c} AS DOUBLE)"
+    whole = f"{d} >= -9223372036854775808D AND {d} < 9223372036854775808D AND floor({d}) = {d}"
+    return f"CASE WHEN {whole} THEN CAST(try_cast({d} AS BIGINT) AS STRING) ELSE {plain_number(c)} END"
+
+
 def sorted_entries(c: str) -> str:
     """Maps are not comparable; their sorted entries are."""
     return f"array_sort(map_entries({c}))"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.compare import common_type
+from ..functions.compare import common_type, key_text
 from ..functions.names import chunks, col, quote, require_columns
 
 # Thresholds and weights of the key ranking, and the column groups that one job counts.
@@ -37,7 +37,7 @@ def key_columns(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> tuple[list[C
         t1, t2 = a.schema[k].dataType, b.schema[k].dataType
         common = common_type(t1, t2)
         if common is None:
-            c1, c2 = F.expr(text.render(quote(k), t1)), F.expr(text.render(quote(k), t2))
+            c1, c2 = F.expr(key_text(quote(k), t1, t2)), F.expr(key_text(quote(k), t2, t1))
         else:
             c1 = col(k) if t1 == common else col(k).cast(common)
             c2 = col(k) if t2 == common else col(k).cast(common)

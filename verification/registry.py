@@ -151,6 +151,22 @@ def diff_type_drift(spark):
     return orders_diff(spark, two=s.ORDERS_DRIFTED).counts()
 
 
+LARGE_KEYS = "select {key} as k, o_orderstatus as st, o_custkey as c from orders"
+LARGE = "cast(o_orderkey as bigint) + 9007199254740992"
+
+
+@query(
+    q.counts(
+        LARGE_KEYS.format(key=LARGE), LARGE_KEYS.format(key=f"cast(cast({LARGE} as double) as bigint)"), ["k"], ("st",), ("c",)
+    ),
+    "orders",
+)
+def diff_large_mixed_keys(spark):
+    """A bigint key against a double one where a double holds every second number only."""
+    one, two = (spark.sql(LARGE_KEYS.format(key=k)) for k in (LARGE, f"cast({LARGE} as double)"))
+    return ra.diff(one, two, ["k"]).counts()
+
+
 REPEATED_KEYS = ["l_orderkey", "l_linenumber"]
 REPEATED_OTHERS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 REPEATED = ("select * from lineitem", s.LINEITEM_2, REPEATED_KEYS, LINE_TEXTS, REPEATED_OTHERS)

@@ -40,7 +40,7 @@ from .operators.profile import (
 from .operators.schema import apply_column_map, compare_schemas, rename_candidates, schema_score
 from .operators.valuesets import value_set_counts, value_set_members
 from .plans.compare import CompareSpec, KeyChoice, choose_key, compare, multi_compare
-from .plans.report import diff_json, diff_summary, report_json, report_tables, write_changes, write_report
+from .plans.report import diff_json, diff_summary, read_report, report_json, report_tables, write_changes, write_report
 from .sources.delimited import detect_delimiter, detect_encoding, infer_types, read_delimited, table_metadata
 from .sources.workbooks import list_workbook_sheets, read_workbooks
 

@@ -132,6 +132,8 @@ class Diff:
         factored = "least(rows_1, rows_2) > 1"
         counts = rows_per_key(self.df1, self.df2, self.spec.keys).where(none_null(self.keys))
         special = counts.where(f"{hot} OR {factored}").selectExpr("*", f"{hot} AS hot", f"{factored} AS factored")
+        if not (self._has_hot_keys or self._has_factored_keys):
+            return special.where(F.lit(False))
         return written(special, "special-keys")
 
     @property
@@ -432,16 +434,22 @@ class Diff:
             self._join_rows("join_rows"),
         )
 
-    def stored(self, path: str) -> Diff:
+    def stored(self, path: str, mode: str = "errorifexists") -> Diff:
         """Write the changed rows once and return a Diff that reads them back.
 
         Counters, statistics, samples and exports then share one run of the join;
         unchanged rows need no storage because the key scan already knows how many
         join rows there are.
         """
-        self._changed().write.mode("errorifexists").parquet(path)
+        self._changed().write.mode(mode).parquet(path)
+        return self.read_stored(path)
+
+    def read_stored(self, path: str) -> Diff:
+        """The same Diff on changed rows that :meth:`stored` has written, here or in an earlier session."""
         copy = Diff(self.df1, self.df2, replace(self.spec, column_map=None), self.check)
         copy._stored = self.df1.sparkSession.read.parquet(path)
+        if "_special_keys" in self.__dict__:
+            copy._special_keys = self._special_keys
         return copy
 
     # ---- factored keys ----------------------------------------------------------------

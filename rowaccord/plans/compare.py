@@ -104,11 +104,11 @@ class Comparison:
         exact = self.spec.exact_profiles
         return profile_columns(self.df1, exact=exact), profile_columns(self.df2, exact=exact)
 
-    def checks(self) -> DataFrame:
-        """All checks; the keys were counted for the diff already."""
+    def checks(self, profiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        """All checks; the keys were counted for the diff already, and ready profiles take the place of a scan."""
         k = self.diff.check
         counts = (k.rows_1, k.duplicates_1, k.null_rows_1), (k.rows_2, k.duplicates_2, k.null_rows_2)
-        return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, key_counts=counts)
+        return validate_pair(self.df1, self.df2, self.spec.validation, self.keys, profiles, key_counts=counts)
 
     def check_summary(self) -> DataFrame:
         return check_summary(self.checks())
@@ -127,7 +127,15 @@ class Comparison:
         return self.diff.sample()
 
     def multiplicity(self) -> DataFrame:
-        return key_multiplicity(self.df1, self.df2, self.keys)
+        """Keys that repeat; where the key scan saw none, nothing is read again."""
+        repeated = key_multiplicity(self.df1, self.df2, self.keys)
+        k = self.diff.check
+        return repeated if k.duplicates_1 or k.duplicates_2 else repeated.where(F.lit(False))
+
+    def contents(self) -> DataFrame:
+        """Contents of keys that repeat on both sides, see :meth:`Diff.factored_contents`."""
+        contents = self.diff.factored_contents()
+        return contents if self.diff.check.repeated_on_both else contents.where(F.lit(False))
 
 
 @dataclass(frozen=True)

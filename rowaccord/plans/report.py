@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import copy
+import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import lit, quote
@@ -16,6 +20,9 @@ from .compare import Comparison
 
 JSON_SAMPLE_ROWS = 100
 
+STEP_COLUMNS = "step string, request string, finished_at timestamp"
+MANIFEST_COLUMNS = "position int, table string, format string, rows bigint, columns array<string>"
+
 RUN_COLUMNS = (
     "job_id string, run_type string, table1 string, table2 string, started_at timestamp, "
     "duration_s double, status string, summary string, deleted boolean, logged_at timestamp"
@@ -115,51 +122,136 @@ def _rounded(profile: DataFrame) -> DataFrame:
     return profile.withColumn("null_variant_rate", F.round("null_variant_rate", 4))
 
 
+REPORT_TABLES: dict[str, Callable[[Comparison], DataFrame]] = {
+    "key": lambda c: c.key_report(),
+    "counts": lambda c: c.counts(),
+    "column_stats": lambda c: c.column_stats(),
+    "summary": lambda c: diff_summary(c.diff),
+    "schema": lambda c: c.schemas(),
+    "renames": lambda c: c.renames(),
+    "score": lambda c: c.score(),
+    "profile_1": lambda c: c.profiles[0],
+    "profile_2": lambda c: c.profiles[1],
+    "checks": lambda c: c.checks(),
+    "check_summary": lambda c: c.check_summary(),
+    "multiplicity": lambda c: c.multiplicity(),
+    "contents": lambda c: c.contents(),
+    "sample": lambda c: c.sample(),
+    "before_after": lambda c: c.diff.before_after(),
+    "json": lambda c: diff_json(c.diff),
+}
+
+
 def report_tables(c: Comparison) -> dict[str, DataFrame]:
     """Every table of a comparison's report by name."""
-    return {
-        "counts": c.counts(),
-        "column_stats": c.column_stats(),
-        "summary": diff_summary(c.diff),
-        "schema": c.schemas(),
-        "score": c.score(),
-        "checks": c.checks(),
-        "sample": c.sample(),
-        "before_after": c.diff.before_after(),
-        "json": diff_json(c.diff),
-    }
+    return {name: make(c) for name, make in REPORT_TABLES.items()}
 
 
-def write_changes(diff: Diff, path: str, fmt: str = "csv") -> None:
+# Blanks around a value are part of it: they may be the very change.
+CSV_OPTIONS = {
+    "header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+def write_changes(diff: Diff, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """Write all changed rows, in parallel, as a folder of files: keys, type, values 1, values 2."""
     changes = diff.changes().drop("changed", "changed_raw") if fmt == "csv" else diff.changes()
-    writer = changes.write.mode("errorifexists")
-    if fmt == "csv":
-        # Blanks around a value are part of it: they may be the very change.
-        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        writer = writer.options(header=True, escape='"', emptyValue='""', **blanks)
-    writer.format(fmt).save(path)
+    options = CSV_OPTIONS if fmt == "csv" else {}
+    changes.write.mode(mode).options(**options).format(fmt).save(path)
 
 
-def write_report(c: Comparison, folder: str, run_id: str | None = None) -> str:
+def write_report(c: Comparison, folder: str, run_id: str | None = None, resume: bool = False) -> str:
     """Write all tables of the report below ``folder/run_id=…`` and return that path.
 
-    The join runs once: changed rows are stored first and every other table of the
-    comparison is made from them. An existing run is never overwritten.
+    The join runs once: changed rows are stored first and every other table of the comparison is made from them; the
+    checks read the stored profiles. Each finished table is noted in ``steps``, and ``manifest``, which lists all tables,
+    is written last, so a report without it is unfinished (see :func:`read_report`).
+
+    An existing run is never overwritten. With ``resume`` an unfinished one goes on: noted tables stay as they are and
+    what a broken write left of the others is replaced; a finished one stays untouched. The comparison must be the same
+    (keys, rules, columns, row counts); another one is refused. One writer at a time may work on a run.
     """
-    run_id = run_id or uuid.uuid4().hex
-    base = f"{folder.rstrip('/')}/run_id={run_id}"
-    stored = Comparison.__new__(Comparison)
-    stored.__dict__.update(c.__dict__)
-    stored.diff = c.diff.stored(f"{base}/join")
-    write_changes(stored.diff, f"{base}/changes")
-    for name, df in report_tables(stored).items():
-        df.write.mode("errorifexists").parquet(f"{base}/{name}")
     spark = c.df1.sparkSession
-    check_summary(spark.read.parquet(f"{base}/checks")).write.mode("errorifexists").parquet(f"{base}/check_summary")
+    base = f"{folder.rstrip('/')}/run_id={run_id or uuid.uuid4().hex}"
+    request = _request(c)
+    noted = _rows(spark, f"{base}/steps", STEP_COLUMNS)
+    if noted and not resume:
+        raise FileExistsError(f"{base} already exists; resume=True goes on where it is unfinished")
+    if any(s.request != request for s in noted):
+        raise ValueError(f"{base} was started for another comparison")
+    if _rows(spark, f"{base}/manifest", MANIFEST_COLUMNS):
+        return base
+    done = {s.step for s in noted}
+    mode = "overwrite" if noted else "errorifexists"
+
+    def step(name: str, write: Callable[[], object] = lambda: None) -> None:
+        if name not in done:
+            write()
+            note = spark.range(1).select(F.lit(name).alias("step"), F.lit(request).alias("request"), F.current_timestamp().alias("finished_at"))
+            note.write.mode("append").parquet(f"{base}/steps")
+
+    step("start")
+    step("join", lambda: c.diff.stored(f"{base}/join", mode))
+    stored = copy.copy(c)
+    stored.diff = c.diff.read_stored(f"{base}/join")
+    step("changes", lambda: write_changes(stored.diff, f"{base}/changes", mode=mode))
+    ready: dict[str, DataFrame] = {}
+    for name, make in REPORT_TABLES.items():
+        if name == "checks":
+            table = lambda: c.checks((ready["profile_1"], ready["profile_2"]))
+        elif name == "check_summary":
+            table = lambda: check_summary(ready["checks"])
+        else:
+            table = lambda make=make: make(stored)
+        step(name, lambda: table().write.mode(mode).parquet(f"{base}/{name}"))
+        ready[name] = spark.read.parquet(f"{base}/{name}")
+    ready["join"] = stored.diff._stored
+    rows = _count_each(ready)
+    listed = [(i, n, "parquet", rows[n], ready[n].columns) for i, n in enumerate(ready)]
+    listed.append((len(ready), "changes", "csv", rows["join"], spark.read.options(**CSV_OPTIONS).csv(f"{base}/changes").columns))
+    spark.createDataFrame(listed, MANIFEST_COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")
     return base
 
 
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a finished report by name, ``manifest`` included; an unfinished one is refused."""
+    listed = _rows(spark, f"{path.rstrip('/')}/manifest", MANIFEST_COLUMNS)
+    if not listed:
+        raise FileNotFoundError(f"{path} holds no finished report")
+    tables = {}
+    for r in sorted(listed, key=lambda r: r.position):
+        options = CSV_OPTIONS if r.format == "csv" else {}
+        tables[r.table] = spark.read.options(**options).format(r.format).load(f"{path.rstrip('/')}/{r.table}")
+    tables["manifest"] = spark.read.schema(MANIFEST_COLUMNS).parquet(f"{path.rstrip('/')}/manifest")
+    return tables
+
+
+def _request(c: Comparison) -> str:
+    """What a comparison asks and what its key scan counted, as text."""
+    schemas = [df.schema.simpleString() for df in (c.df1, c.df2)]
+    fields = {"keys": c.keys, "rules": asdict(c.spec.rules), "columns": [x.name for x in c.diff.columns], "tables": schemas}
+    return json.dumps({**fields, "preview": c.spec.preview, "counted": asdict(c.diff.check)}, sort_keys=True, default=str)
+
+
+def _rows(spark: SparkSession, path: str, columns: str) -> list[Row]:
+    """A small table's rows; none where it does not exist."""
+    try:
+        return spark.read.schema(columns).parquet(path).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _count_each(tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Rows of each written table, from the files' footers, in one job."""
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        counts = one if counts is None else counts.unionAll(one)
+    return {r["table"]: r["rows"] for r in counts.collect()}
+
+
 # ---- run log ------------------------------------------------------------------------------
 
 

@@ -234,6 +234,56 @@ def test_report_folder(spark, depot, tmp_path):
         ra.write_report(c, str(tmp_path), run_id="r1")
 
 
+def test_report_holds_every_table(spark, depot, tmp_path):
+    c = ra.compare(*depot, keys=["id"])
+    path = ra.write_report(c, str(tmp_path), run_id="full")
+    tables = ra.read_report(spark, path)
+    manifest = by(tables.pop("manifest"), "table")
+    assert set(manifest) == set(tables) == {*report.REPORT_TABLES, "join", "changes"}
+    assert {n: df.count() for n, df in tables.items()} == {n: r["rows"] for n, r in manifest.items()}
+    assert all(df.columns == manifest[n]["columns"] for n, df in tables.items())
+    assert [tuple(r) for r in tables["multiplicity"].collect()] == [tuple(r) for r in c.multiplicity().collect()]
+    assert tables["multiplicity"].first()["id"] == 16 and tables["contents"].count() == 0
+    assert tables["profile_1"].orderBy("position").collect() == c.profiles[0].collect()
+    assert sorted(map(repr, tables["checks"].collect())) == sorted(map(repr, c.checks().collect()))
+
+
+def test_report_of_repeated_keys(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "x")], "k bigint, v string")
+    two = spark.createDataFrame([(1, "a"), (1, "c"), (2, "x")], "k bigint, v string")
+    tables = ra.read_report(spark, ra.write_report(ra.compare(one, two, keys=["k"]), str(tmp_path)))
+    assert {(r["values"]["v"], r["rows_f1"], r["rows_f2"]) for r in tables["contents"].collect()} == {("a", 2, 1), ("b", 1, 0), ("c", 0, 1)}
+    assert [tuple(r)[:3] for r in tables["multiplicity"].collect()] == [(1, 3, 2)]
+
+
+def test_report_goes_on_after_a_failure(spark, depot, tmp_path):
+    def fail():
+        raise RuntimeError("lost")
+
+    broken = ra.compare(*depot, keys=["id"])
+    broken.sample = fail
+    with pytest.raises(RuntimeError, match="lost"):
+        ra.write_report(broken, str(tmp_path), run_id="r")
+    base = f"{tmp_path}/run_id=r"
+    # What a write that broke off may leave: files of a table that is not noted as finished.
+    spark.range(3).write.parquet(f"{base}/before_after")
+    files = {f: os.stat(os.path.join(base, "join", f)).st_mtime_ns for f in os.listdir(f"{base}/join")}
+    with pytest.raises(FileNotFoundError, match="no finished report"):
+        ra.read_report(spark, base)
+    with pytest.raises(FileExistsError, match="already exists"):
+        ra.write_report(ra.compare(*depot, keys=["id"]), str(tmp_path), run_id="r")
+    with pytest.raises(ValueError, match="another comparison"):
+        ra.write_report(ra.compare(*depot, keys=["id"], rules=ra.IgnoreRules(case=True)), str(tmp_path), run_id="r", resume=True)
+    assert ra.write_report(ra.compare(*depot, keys=["id"]), str(tmp_path), run_id="r", resume=True) == base
+    tables = ra.read_report(spark, base)
+    assert tables["before_after"].count() == tables["changes"].count() == 20
+    assert files == {f: os.stat(os.path.join(base, "join", f)).st_mtime_ns for f in os.listdir(f"{base}/join")}
+    steps = spark.read.parquet(f"{base}/steps")
+    assert steps.count() == steps.select("step").distinct().count()
+    assert ra.write_report(ra.compare(*depot, keys=["id"]), str(tmp_path), run_id="r", resume=True) == base
+    assert spark.read.parquet(f"{base}/steps").count() == steps.count()
+
+
 def test_run_log(spark, tmp_path):
     log = str(tmp_path / "runs")
     for i, job in enumerate(["a", "b", "c", "a"]):

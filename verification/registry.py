@@ -1045,6 +1045,47 @@ def report_json(spark):
     )
 
 
+_REPORT_ROWS = {
+    "key": "1", "counts": "1", "column_stats": "5", "summary": "9", "schema": "6", "renames": "0", "score": "1",
+    "profile_1": "6", "profile_2": "6", "check_summary": "4", "json": "1", "contents": "0",
+    "multiplicity": "(select count(*) from (select 1 from a group by o_orderkey having count(*) > 1) x)"
+    " + (select count(*) from (select 1 from b group by o_orderkey having count(*) > 1) y)",
+    "sample": "least(200, (select count(*) from c))",
+    **dict.fromkeys(("join", "changes", "before_after"), "(select count(*) from c)"),
+}
+
+
+@query(
+    f"with {q.classified(*q.ORDERS)}, c as (select * from j where change_type <> 'unchanged') "
+    + " union all ".join(f"select '{n}' as \"table\", cast({v} as bigint) as n_rows, true as as_listed" for n, v in _REPORT_ROWS.items()),
+    "orders",
+)
+def report_resumed(spark):
+    """A report broken half-way and resumed: the rows that each of its tables holds, and whether the manifest says so."""
+
+    def fail():
+        raise InterruptedError
+
+    def comparison():
+        return ra.compare(spark.table("orders"), spark.sql(s.ORDERS_2), keys=["o_orderkey"])
+
+    folder = new_path(spark, "reports")
+    broken = comparison()
+    broken.sample = fail
+    try:
+        ra.write_report(broken, folder, "r")
+    except InterruptedError:
+        pass
+    tables = ra.read_report(spark, ra.write_report(comparison(), folder, "r", resume=True))
+    listed = tables.pop("manifest").where("table <> 'checks'").select("table", "rows")
+    tables.pop("checks")
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table"), "n_rows") for n, df in tables.items()]
+    found = counts[0]
+    for one in counts[1:]:
+        found = found.unionAll(one)
+    return found.join(F.broadcast(listed), "table", "left").selectExpr("table", "n_rows", "n_rows <=> rows AS as_listed")
+
+
 # ---- sources and logs -------------------------------------------------------------------------
 
 

@@ -801,6 +801,22 @@ def checks(spark):
     return ra.checks(spark.sql(s.CUSTOMER_DIRTY), CHECK_CONFIG, ["c_mktsegment"]).select(*CHECK_OUTPUT)
 
 
+@query(
+    f"""with t as ({s.CUSTOMER_DIRTY}), n as ({q.null_profile(s.CUSTOMER_DIRTY, CUSTOMER_COLUMNS)})
+    select 'Row Count' as name, null as "column", 'table has ' || format('{{:,}}', count(*)) || ' rows' as message from t
+    union all select 'High Null Rate', "column",
+      "column" || ': ' || printf('%.1f%%', 100 * null_variant_rate) || ' of the values are missing in some form'
+      from n where null_variant_rate > 0.05
+    union all select 'Textual Nulls', "column", "column" || ': ' || textual_null_count || ' values are words for null'
+      from n where textual_null_count > 0""",
+    "customer",
+)
+def check_messages(spark):
+    """The texts of the checks, with their percentages and grouped digits."""
+    found = ra.checks(spark.sql(s.CUSTOMER_DIRTY), ra.ValidationConfig(null_warn_threshold=0.05))
+    return found.where("name IN ('Row Count', 'High Null Rate', 'Textual Nulls')").select("name", "column", "message")
+
+
 @query(
     f"""{_CHECKS_SQL} select position, severity, (select count(*) from c where c.severity = l.severity) as checks
     from (values (0, 'INFO'), (1, 'WARNING'), (2, 'ERROR'), (3, 'CRITICAL')) l(position, severity)""",

@@ -1,7 +1,7 @@
 """Main text of web pages by union-free wrapper inference.
 
 Pages of one host come from one template. A page is a stream of tags and texts; repeated neighbouring groups are
-folded into one repeated group, and the folded streams of a few pages of a host are aligned one after the other. Where
+folded into one repeated group, and the folded streams of a group of pages of a host are aligned one after the other. Where
 they agree stays as it is, texts that differ become slots, and what only some of them have becomes optional: the result
 is a regular expression without unions, the wrapper. Texts that are equal in all aligned pages belong to the template;
 the smallest container that holds all slots of running text, which are not links, is the content. Template texts are left
@@ -13,7 +13,8 @@ text lies in them, the content is theirs, and one that a page has outside the co
 only for a page without a wrapper. In the content, elements that are no running text by their meaning (menus, forms,
 adverts, comments and so on) are left out, and nothing else is.
 
-Wrappers need a bounded number of pages per host; all pages are extracted, each by itself.
+All pages of a host are dealt to such groups, each of them gives a wrapper, and the host's is what most pages vote for:
+no page is left out, and no group grows with the host. All pages are extracted, each by itself.
 """
 
 from __future__ import annotations
@@ -26,15 +27,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, settled
 
-#: Pages per host that a wrapper is inferred from.
-SAMPLE = 6
-#: Sampled pages whose runs of so many words are equal to this share are near copies.
+#: Pages of a host that are aligned with each other, on average: their hash deals them to groups.
+GROUP = 6
+#: Aligned pages whose runs of so many words are equal to this share are near copies.
 RUN, NEAR = 5, 0.8
 #: Pages that must agree before a container with equal texts is left out of the content.
 ENOUGH = 3
@@ -554,21 +554,41 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:/?#]*:?//([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row (host, wrapper as JSON) per host with at least one page.
+def wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
+    """One row (host, wrapper as JSON) per host with at least one page, from all its different pages.
 
-    A page's hash deals it to one of ``sample`` slots, and each slot of a host gives the page with the least hash:
-    an aggregate that Spark combines before its shuffle, however many pages a host has.
+    A page's hash deals it to a group of about ``group`` pages of its host, and each group gives a wrapper. The content is
+    where the groups of most pages have it, ties by text; a text is the template's if it is that of groups with more
+    than half of the pages. ``pages`` counts those that agree on each such text. Near copies within a group count as one page.
     """
     rows = pages.select("host", "html", F.xxhash64("html").alias("h")).where("html is not null and html <> ''")
-    least = rows.groupBy("host", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
-    chosen = rows.join(least, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
+    # Hosts of a single group need no entry.
+    many = rows.groupBy("host").agg(F.countDistinct("h").alias("n")).where(F.col("n") > group)
+    many = many.select("host", F.ceil(F.col("n") / group).alias("groups"))
+    dealt = rows.join(many, "host", "left").withColumn("dealt", F.expr("coalesce(pmod(h, groups), 0)"))
+    # Copies of a page meet before the shuffle already.
+    groups = dealt.groupBy("host", "dealt").agg(F.array_sort(F.collect_set(F.struct("h", "html")))["html"].alias("html"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("h")
-        return pd.DataFrame({"host": [ordered["host"].iloc[0]], "wrapper": [json.dumps(infer(list(ordered["html"])))]})
-
-    return chosen.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        found = [infer(x) for x in batch["html"]]
+        content = [json.dumps({"root": w["root"], "tagged": w["tagged"]}) for w in found]
+        return {"host": batch["host"], "content": content, "template": [w["template"] for w in found], "n": [w["pages"] for w in found]}
+
+    votes = by_batch(groups.select("host", "html"), run, "host string, content string, template array<string>, n bigint")
+    votes = settled(votes, "html-groups")
+    per_content = votes.groupBy("host", "content").agg(F.sum("n").alias("n"))
+    best = per_content.groupBy("host").agg(F.max(F.struct("n", "content"))["content"].alias("content"), F.sum("n").alias("every"))
+    texts = votes.select("host", "n", F.explode(F.array_distinct("template")).alias("text"))
+    texts = texts.groupBy("host", "text").agg(F.sum("n").alias("n")).join(best.select("host", "every"), "host").where("2 * n > every")
+    kept = texts.groupBy("host").agg(F.array_sort(F.collect_list("text")).alias("template"), F.min("n").alias("agree"))
+    content = F.from_json("content", "root array<string>, tagged boolean")
+    wrapper = F.struct(
+        content["root"].alias("root"),
+        F.coalesce("template", F.array().cast("array<string>")).alias("template"),
+        content["tagged"].alias("tagged"),
+        F.coalesce("agree", "every").alias("pages"),
+    )
+    return best.join(kept, "host", "left").select("host", F.to_json(wrapper).alias("wrapper"))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -577,7 +597,7 @@ def _parsed(wrapper: str) -> dict:
 
 
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP
 ) -> DataFrame:
     """One row (id, url, text, n_chars) per page, from its whole HTML.
 
@@ -590,7 +610,7 @@ def main_text(
         host_of(pages[url_col].cast("string")).alias("host"),
         pages[html_col].cast("string").alias("html"),
     )
-    known = settled(wrappers(rows, sample), "html-wrappers")
+    known = settled(wrappers(rows, group), "html-wrappers")
     size = known.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     if size <= SENT_BYTES:
         sent = {r["host"]: r["wrapper"] for r in known.collect()}

@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -257,3 +258,30 @@ def test_made_sites(seed):
         want.append("\n\n".join(t for _, t in blocks))
     w = h.infer(pages)
     assert [h.extract(p, w) for p in pages] == want
+
+
+def test_all_pages_of_a_host_vote(spark):
+    """Forty pages, the copies of one and five of another layout: each different page takes part, and most of them decide."""
+    menu = "<div class=m><p>Opening hours and prices</p><p>We moved offices</p></div>"
+    rng = random.Random(5)
+    odd = [f"<html><body><div class=o><p>{' '.join(str(rng.random()) for _ in range(30))}</p></div></body></html>" for _ in range(5)]
+    usual = [
+        f"<html><body>{menu}<div class=c><h1>Title {i}</h1><p>{' '.join(str(rng.random()) for _ in range(60))}</p></div></body></html>" for i in range(40)
+    ]
+    rows = [(i, "http://a/x", p) for i, p in enumerate(usual + odd + usual[:1] * 30)] + [(99, "http://b/", "<p>one</p>"), (98, "http://c/", None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    hosts = {r.host: json.loads(r.wrapper) for r in h.wrappers(df.select(h.host_of(df.url).alias("host"), "html")).collect()}
+    assert set(hosts) == {"a", "b"} and hosts["a"]["pages"] > 20
+    lone = h.infer(["<p>one</p>"])
+    assert hosts["b"] == {k: lone[k] for k in ("root", "template", "tagged", "pages")}
+    assert len({r.text for r in h.main_text(df).where("page_id < 40").collect()}) == 40
+    for i, text in h.main_text(df).where("page_id < 40").select("page_id", "text").collect():
+        assert text == f"Title {i}\n\n" + usual[i].split("<p>")[-1].split("<")[0]
+
+
+def test_every_page_counts(spark):
+    rng = random.Random(6)
+    pages = [f"<html><body><div class=m><p>We moved</p></div><div class=c><p>{' '.join(str(rng.random()) for _ in range(40))}</p></div></body></html>" for _ in range(50)]
+    df = spark.createDataFrame([("a", p) for p in pages * 2], "host string, html string")
+    (row,) = h.wrappers(df, group=50).collect()
+    assert json.loads(row.wrapper) == {"root": ["html", "body", "div.c"], "template": ["We moved"], "tagged": False, "pages": 50}

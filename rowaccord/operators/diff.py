@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import (
@@ -49,6 +49,9 @@ HOT_KEY_ROWS = 100_000
 MOST_HOT_KEYS = 20_000
 MOST_SALTS = 1024
 
+# Rows of both sides by which the tasks that count repeated keys are dealt: their memory does not grow with the tables.
+ROWS_PER_TASK = 200_000
+
 # Compared columns from which counters go through a long form: one aggregate with four counters
 # per column would outgrow the JVM's compiled methods.
 WIDE_COLUMNS = 40
@@ -352,7 +355,7 @@ class Diff:
         if self._stored is not None:
             return self._stored
         plain = self._coded.withColumn("_n", F.lit(None).cast("decimal(38,0)"))
-        return plain.unionByName(self._factored_rows()) if self._has_factored_keys else plain
+        return reduce(DataFrame.unionByName, [plain, *[self._factored_rows(hot) for hot in self._factored_parts]]) if self._has_factored_keys else plain
 
     def _join_rows(self, name: str) -> Column:
         return F.coalesce("_n", F.lit(1).cast("decimal(38,0)")).alias(name)
@@ -365,7 +368,12 @@ class Diff:
         row per change type, for its pairs with the rows of table 2. A content that only table 2
         has comes with 0 join rows, since its pairs are counted where they start.
         """
-        return self._listed.select(*self._key_output(), "change_type", self._join_rows("join_rows"))
+        listed = self._listed
+        if self._has_factored_keys and self._stored is None:
+            # Nothing but the numbers of pairs is asked of factored keys: no values, no outcomes of columns.
+            plain = self._coded.select(*self.keys, "change_type", F.lit(None).cast("decimal(38,0)").alias("_n"))
+            listed = reduce(DataFrame.unionByName, [plain, *[self._factored_rows(hot, kinds=True) for hot in self._factored_parts]])
+        return listed.select(*self._key_output(), "change_type", self._join_rows("join_rows"))
 
     def _changed(self) -> DataFrame:
         return self._listed.where(F.col("change_type") != "unchanged")
@@ -454,19 +462,24 @@ class Diff:
 
     # ---- factored keys ----------------------------------------------------------------
 
-    def _factored_sides(self) -> tuple[DataFrame, DataFrame]:
-        """Rows of both sides whose key repeats on both."""
-        cool = self._cool_factored_keys.select(*self.keys)
+    def _factored_sides(self, hot: bool) -> tuple[DataFrame, DataFrame]:
+        """Rows of both sides whose key repeats on both, of the hot keys or of all others.
 
-        def rows(side: DataFrame) -> DataFrame:
-            side = side.where(none_null(self.keys))
-            found = self._without_hot(side).join(cool, self.keys, "left_semi")
-            if self._has_hot_keys:
-                found = found.unionAll(self._only_hot(side, F.col("factored")))
-            return found
+        Those of other keys are dealt by key, so all counts of a key are made in one task without another shuffle.
+        Their copies hardly meet before a shuffle, and a map of them would grow with the task's part of the table.
+        """
+        one, two = (side.where(none_null(self.keys)) for side in self._sides)
+        if hot:
+            return self._only_hot(one, F.col("factored")), self._only_hot(two, F.col("factored"))
+        keys = self._cool_factored_keys.select(*self.keys)
+        tasks = 1 + (self.check.rows_1 + self.check.rows_2) // ROWS_PER_TASK
+        one, two = (self._without_hot(side).join(keys, self.keys, "left_semi").repartition(tasks, *self.keys) for side in (one, two))
+        return one, two
 
-        one, two = self._sides
-        return rows(one), rows(two)
+    @property
+    def _factored_parts(self) -> list[bool]:
+        """Whether the keys are hot, of each part of the factored keys: no key is in both parts."""
+        return [False, True] if self._has_hot_keys else [False]
 
     def _texts(self, side: int, full_raw: bool) -> tuple[list[str], list[str]]:
         """Semantic and raw texts of the compared columns of one side.
@@ -483,8 +496,8 @@ class Diff:
             raw.append((c.raw_text(*pair) if full_raw else c.raw_residue(*pair))[side])
         return semantic, raw
 
-    def _contents(self, per_column: bool, full_raw: bool = False) -> DataFrame:
-        """``_k*, item, sem, raw, n1, n2``: copies of each distinct content of factored keys.
+    def _contents(self, per_column: bool, hot: bool, full_raw: bool = False) -> DataFrame:
+        """``_k*, item, sem, raw, n1, n2``: copies of each distinct content of a part of the factored keys.
 
         ``item`` −1 stands for the whole row; with ``per_column`` each column is an item too.
         """
@@ -501,7 +514,7 @@ class Diff:
                 entries += [item(i, [s], [r]) for i, (s, r) in enumerate(zip(semantic, raw))]
             return df.select(*self.keys, F.expr(f"inline(array({', '.join(entries)}))"), F.lit(side == 0).alias("_first"))
 
-        one, two = self._factored_sides()
+        one, two = self._factored_sides(hot)
         return (
             items(one, 0)
             .unionAll(items(two, 1))
@@ -523,19 +536,23 @@ class Diff:
             return F.sum(c).cast("decimal(38,0)").alias(name)
 
         known = F.element_at("sem", 1).isNotNull()
-        per_meaning = (
-            self._contents(per_column)
-            .groupBy(*self.keys, "item", "sem")
-            .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), total(big("n1") * big("n2"), "same"))
-        )
-        per_key = per_meaning.groupBy(*self.keys, "item").agg(
-            F.sum("n1").alias("n1"),
-            F.sum("n2").alias("n2"),
-            total(big("n1") * big("n2"), "equal"),
-            total(F.col("same"), "same"),
-            F.sum(F.when((F.col("item") >= 0) & known, F.col("n1")).otherwise(0)).alias("known1"),
-            F.sum(F.when((F.col("item") >= 0) & known, F.col("n2")).otherwise(0)).alias("known2"),
-        )
+
+        def keyed(hot: bool) -> DataFrame:
+            per_meaning = (
+                self._contents(per_column, hot)
+                .groupBy(*self.keys, "item", "sem")
+                .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), total(big("n1") * big("n2"), "same"))
+            )
+            return per_meaning.groupBy(*self.keys, "item").agg(
+                F.sum("n1").alias("n1"),
+                F.sum("n2").alias("n2"),
+                total(big("n1") * big("n2"), "equal"),
+                total(F.col("same"), "same"),
+                F.sum(F.when((F.col("item") >= 0) & known, F.col("n1")).otherwise(0)).alias("known1"),
+                F.sum(F.when((F.col("item") >= 0) & known, F.col("n2")).otherwise(0)).alias("known2"),
+            )
+
+        per_key = reduce(DataFrame.unionAll, [keyed(hot) for hot in self._factored_parts])
         nulls_1, nulls_2 = big("n1") - big("known1"), big("n2") - big("known2")
         per_item = per_key.groupBy("item").agg(
             total(big("n1") * big("n2") - F.col("equal"), "m"),
@@ -553,23 +570,25 @@ class Diff:
             aggs += [of(i, x).alias(f"_{x}{i}") for x in "mfir"]
         return per_item.agg(*aggs)
 
-    def _factored_rows(self) -> DataFrame:
-        """The contents of factored keys in the shape of ``_coded``, with ``_n`` join rows each.
+    def _factored_rows(self, hot: bool, kinds: bool = False) -> DataFrame:
+        """The contents of a part of the factored keys in the shape of ``_coded``, with ``_n`` join rows each.
+
+        With ``kinds`` only the keys, ``change_type`` and ``_n``.
 
         Whether any partner differs in a column follows from the least and the greatest digest
         of that column among the partners, so no pair is formed here either.
         """
-        n = range(len(self.columns))
+        n = range(0 if kinds else len(self.columns))
 
         def side(df: DataFrame, number: int) -> DataFrame:
-            semantic, raw = self._texts(number, full_raw=True)
+            semantic, raw = self._texts(number, full_raw=not kinds)
             texts = [f"cast(array({', '.join(x)}) as array<string>) AS {name}" for x, name in ((semantic, "sem"), (raw, "raw"))]
             own, other = "ab"[number], "ba"[number]
             types = [(c.type_2 if number == 0 else c.type_1).simpleString() for c in self.columns]
-            nothing = [f"CAST(NULL AS {t}) AS _{other}{i}" for i, t in enumerate(types)]
+            nothing = [f"CAST(NULL AS {types[i]}) AS _{other}{i}" for i in n]
             return df.selectExpr(*self.keys, *texts, f"{number == 0} AS _first", *[f"_{own}{i}" for i in n], *nothing)
 
-        one, two = self._factored_sides()
+        one, two = self._factored_sides(hot)
         contents = (
             side(one, 0)
             .unionByName(side(two, 1))
@@ -584,29 +603,27 @@ class Diff:
         def digest(name: str, i: int) -> str:
             return f"coalesce(md5({name}[{i}]), '')"
 
-        def extremes(value: str, prefix: str) -> list[Column]:
-            return [
-                F.expr(f"{f}(CASE WHEN n{s} > 0 THEN {value.format(i=i)} END) AS {prefix}_{f}{s}_{i}")
+        def extremes(value: str, prefix: str) -> dict[str, str]:
+            return {
+                f"{prefix}_{f}{s}_{i}": f"{f}(CASE WHEN n{s} > 0 THEN {value.format(i=i)} END)"
                 for i in n
                 for s in (1, 2)
                 for f in ("min", "max")
-            ]
+            }
 
         both = "named_struct('s', coalesce(md5(sem[{i}]), ''), 'r', coalesce(md5(raw[{i}]), ''))"
-        per_key = contents.groupBy(*self.keys).agg(
-            F.sum("n1").alias("all1"), F.sum("n2").alias("all2"), *extremes(both, "k")
-        )
-        per_meaning = contents.groupBy(*self.keys, "sem").agg(
-            F.sum("n1").alias("eq1"), F.sum("n2").alias("eq2"), *extremes("coalesce(md5(raw[{i}]), '')", "m")
-        )
-        rows = contents.join(per_meaning, [*self.keys, "sem"])
-        if self._has_hot_keys:
+        of_key = {"all1": "sum(n1)", "all2": "sum(n2)"} | extremes(both, "k")
+        of_meaning = {"eq1": "sum(n1)", "eq2": "sum(n2)"} | extremes("coalesce(md5(raw[{i}]), '')", "m")
+        if hot:
             # The contents of a hot key stay spread: its one row of extremes goes to every salt.
-            hot = f"greatest(all1, all2) > {self._hot_limit}"
-            cool = self._without_hot(rows).join(per_key.where(f"NOT ({hot})"), self.keys)
-            rows = cool.unionByName(self._salted_join(self._only_hot(rows, F.col("factored")), per_key.where(hot)))
+            per_key = contents.groupBy(*self.keys).agg(*[F.expr(x).alias(c) for c, x in of_key.items()])
+            per_meaning = contents.groupBy(*self.keys, "sem").agg(*[F.expr(x).alias(c) for c, x in of_meaning.items()])
+            rows = self._salted_join(contents.join(per_meaning, [*self.keys, "sem"]), per_key)
         else:
-            rows = rows.join(per_key, self.keys)
+            # All rows of another key are in one task already.
+            rows = contents
+            for names, own in ((of_meaning, [*self.keys, "sem"]), (of_key, self.keys)):
+                rows = rows.select("*", *[F.expr(x).over(Window.partitionBy(*own)).alias(c) for c, x in names.items()])
 
         def codes(s: int, kind: str) -> str:
             """Outcome codes against the partners on side ``s``."""
@@ -644,6 +661,8 @@ class Diff:
             entry("formatting_only", "0", "n1 = 0 AND all1 = eq1", 1),
         ]
         listed = rows.select("*", F.expr(f"inline(array_compact(array({', '.join(entries)})))"))
+        if kinds:
+            return listed.select(*self.keys, "change_type", "_n")
         # Values of table 2 stand beside those of table 1 only where they are the same.
         shown = "(n1 = 0 OR change_type = 'unchanged')"
         values = [f"_a{i}" for i in n] + [f"CASE WHEN {shown} THEN _b{i} END AS _b{i}" for i in n]
@@ -660,16 +679,15 @@ class Diff:
         copies are ``unchanged``, ``formatting_only`` or ``modified``. This is the full
         product in factored form: its size is that of the inputs.
         """
-        contents = self._contents(per_column=False, full_raw=True)
-        meaning = contents.groupBy(*self.keys, "sem").agg(F.sum("n2").alias("_equal2"))
-
-        # Totals come back by join: a window over the key would hold a hot key in one task.
-        counts = self._cool_factored_keys.select(*self.keys, F.col("rows_2").alias("_all2"))
-        totals = contents.join(counts, self.keys)
-        if self._has_hot_keys:
-            hot = self._hot_keys.select(*self.keys, F.col("rows_2").alias("_all2"))
-            totals = totals.unionByName(contents.join(F.broadcast(hot), self.keys))
-        joined = totals.join(meaning, [*self.keys, "sem"])
+        def totalled(hot: bool) -> DataFrame:
+            contents = self._contents(per_column=False, hot=hot, full_raw=True)
+            meaning = contents.groupBy(*self.keys, "sem").agg(F.sum("n2").alias("_equal2"))
+            # Totals come back by join: a window over the key would hold a hot key in one task.
+            counts = (self._hot_keys if hot else self._cool_factored_keys).select(*self.keys, F.col("rows_2").alias("_all2"))
+            totals = contents.join(F.broadcast(counts) if hot else counts, self.keys)
+            return totals.join(meaning, [*self.keys, "sem"])
+
+        joined = reduce(DataFrame.unionByName, [totalled(hot) for hot in self._factored_parts])
         names = F.array(*[F.lit(c.name) for c in self.columns]) if self.columns else F.array().cast("array<string>")
 
         def pairs(n: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -430,3 +431,32 @@ def test_bigint_and_double_are_equal_as_numbers_only(spark):
     two = spark.createDataFrame([(i, b) for i, (_, b, _) in enumerate(pairs)], "id int, v double")
     for left, right in ((one, two), (two, one)):
         assert only(ra.diff(left, right, ["id"]).counts())["modified_rows"] == sum(k == "modified" for *_, k in pairs)
+
+
+def test_repeated_keys_are_dealt_once(spark):
+    """Counts of keys that are not hot: no map of texts before a shuffle, and no shuffle by texts."""
+    one = spark.createDataFrame([(i % 40, "A" if i % 3 else "a", i % 2) for i in range(200)], "k int, s string, v int")
+    d = ra.diff(one, one.withColumn("v", F.expr("if(k % 5 = 0, null, v)")), ["k"], rules=ra.IgnoreRules(case=True))
+    for df in (d.counts(), d.column_stats(), d.classified(), d.changes()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*\b(sem|item)#", plan)
+
+
+def test_classified_makes_no_outcomes_of_columns(spark):
+    """Change types of repeated keys need numbers of copies only, and equal those that come with values."""
+    rows = [(i % 30, "xY"[i % 2] if i % 7 else "y", None if i % 11 == 0 else i % 3) for i in range(300)]
+    one = spark.createDataFrame(rows, "k int, s string, v int")
+    for limit in (5, 100_000):
+        d = ra.diff(one, one.where("v <> 1 or k > 3"), ["k"], rules=ra.IgnoreRules(case=True), hot_key_rows=limit)
+        assert "md5" not in d.classified()._jdf.queryExecution().optimizedPlan().toString()
+
+        def added_up(df):
+            return {tuple(r) for r in df.groupBy("k", "change_type").agg(F.sum("n").cast("bigint"), F.count("*")).collect()}
+
+        listed = d._listed.select(F.col("_k0").alias("k"), "change_type", F.coalesce("_n", F.lit(1)).alias("n"))
+        found = d.classified().withColumnRenamed("join_rows", "n")
+        assert added_up(found) == added_up(listed)
+        kinds = {r.change_type: int(r.n) for r in found.groupBy("change_type").agg(F.sum("n").alias("n")).collect()}
+        counts = d.counts().first()
+        assert kinds["modified"] == counts.modified_rows and kinds["unchanged"] == counts.unchanged_rows
+        assert kinds["formatting_only"] == counts.formatting_only_rows

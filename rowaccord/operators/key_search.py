@@ -23,11 +23,13 @@ from pyspark.sql import types as T
 from ..functions.names import chunks, col, require_columns
 from .keys import null_counts
 
-# Bounds of the work, not of the result: (row, group) entries and groups of one sample, and groups tested on all rows in one job.
+# Bounds of the work, not of the result: (row, group) entries and groups of one sample, and groups tested on all rows in one job and
+# (row, group) entries of it if that is more than one group: each task holds a map of its entries.
 SAMPLE_ENTRIES = 4_000_000
 SAMPLE_ROWS = 20_000
 GROUPS_PER_SAMPLE = 2_000
 GROUPS_PER_COUNT = 20
+COUNT_ENTRIES = 20_000_000
 
 
 def _can_group(t: T.DataType) -> bool:
@@ -183,7 +185,7 @@ def smallest_keys(
                 confirmed += whole(batch)
                 continue
             left, unsure = tested(_hashed_pairs(df, names, [bits(g) for g in batch], slots), batch)
-            for part in chunks(left + unsure, GROUPS_PER_COUNT):
+            for part in chunks(left + unsure, min(GROUPS_PER_COUNT, max(1, COUNT_ENTRIES // total))):
                 # A pair of this batch may have ruled it out already.
                 if part := [g for g in part if all(m & g for m in known.missing)]:
                     confirmed += whole(part)

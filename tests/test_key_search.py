@@ -112,3 +112,24 @@ def test_comparison_names_its_key(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         ra.compare(ids, ids)
+
+
+def test_groups_counted_at_once_follow_the_rows(spark, monkeypatch):
+    """The entries that one job counts are bounded; the keys found do not depend on it."""
+    monkeypatch.setattr(key_search, "SAMPLE_ROWS", 100)
+    df = spark.range(2000).selectExpr("id % 50 AS a", "id div 50 AS b", "id div 50 + 1 AS c", "(id div 50) * 2 AS d", "id % 7 AS e")
+    at_once = []
+    real = key_search._hashed_pairs
+
+    def spied(df, names, groups, slots):
+        at_once.append((slots, len(groups)))
+        return real(df, names, groups, slots)
+
+    monkeypatch.setattr(key_search, "_hashed_pairs", spied)
+    found = []
+    for entries in (4000, 20_000_000):
+        at_once.clear()
+        monkeypatch.setattr(key_search, "COUNT_ENTRIES", entries)
+        found.append([r["columns"] for r in ra.smallest_keys(df).orderBy("rank").collect()])
+        assert all(n * 2000 <= max(entries, 2000) for slots, n in at_once if slots == 1)
+    assert found[0] == found[1] == [["a", "b"], ["a", "c"], ["a", "d"]]

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from verification import registry
 from verification.snapshots import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,3 +44,13 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_wide_lines_are_grouped_once(spark):
+    """A search over grouped lines reads a table: it does not group them again for each of its scans."""
+    spark.range(60).selectExpr(
+        "id div 3 AS l_orderkey", "int(id % 3) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "timestamp '2001-02-03' AS l_shipdate", "1D AS l_quantity"
+    ).createOrReplaceTempView("lineitem")
+    wide = registry._wide(spark)
+    assert "Aggregate" not in wide._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, spark.sql(registry.WIDE).collect()))

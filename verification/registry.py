@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rowaccord as ra
-from rowaccord.functions.storage import new_path
+from rowaccord.functions.storage import new_path, written
 from rowaccord.operators.aggregates import aggregate_summary
+from rowaccord.operators.diff import ROWS_PER_TASK
 from rowaccord.plans.report import latest_runs
 
 from . import duckdb_sql as q
@@ -630,6 +631,16 @@ WIDE = f"""select l_orderkey, l_linenumber, {', '.join(f'max({c}) as {c}' for c
     group by l_orderkey, l_linenumber"""
 
 
+def _wide(spark: SparkSession) -> DataFrame:
+    """The grouped lines, written once: a search reads them many times and would group them anew each time.
+
+    Lines are dealt by key before, to tasks whose number follows that of the lines: few of them share a key.
+    """
+    lines = spark.table("lineitem")
+    dealt = lines.repartition(1 + lines.count() // ROWS_PER_TASK, "l_orderkey", "l_linenumber")
+    return written(spark.sql(WIDE.replace("from lineitem", "from {lines}"), lines=dealt), "wide")
+
+
 def _pairs_sql(columns: list[str]) -> str:
     """All pairs whose distinct counts multiply to the row count at least."""
     parts = [
@@ -652,7 +663,7 @@ def _pairs_sql(columns: list[str]) -> str:
 )
 def discover_keys_wide(spark):
     """The key's line number has fewer values than five other columns."""
-    found = ra.discover_keys(spark.sql(WIDE).select(*WIDE_COLUMNS)).drop("rank", "recommended")
+    found = ra.discover_keys(_wide(spark).select(*WIDE_COLUMNS)).drop("rank", "recommended")
     return _key_output(found.withColumn("columns", F.sort_array("columns")))
 
 
@@ -673,7 +684,7 @@ def _unique_pairs_sql(columns: list[str], table: str) -> str:
 @query(f"with t as ({WIDE}) {_unique_pairs_sql(WIDE_COLUMNS, 't')}", "lineitem")
 def smallest_keys_wide(spark):
     """No single column is a key; all pairs that are."""
-    return _key_output(ra.smallest_keys(spark.sql(WIDE).select(*WIDE_COLUMNS)))
+    return _key_output(ra.smallest_keys(_wide(spark).select(*WIDE_COLUMNS)))
 
 
 LATER_LINES = f"select * replace (l_quantity + case when l_partkey % 9 = 0 then 1 else 0 end as l_quantity) from ({WIDE}) w where l_orderkey % 40 <> 0"
@@ -685,9 +696,10 @@ LATER_LINES = f"select * replace (l_quantity + case when l_partkey % 9 = 0 then
 )
 def compare_composite_key(spark):
     """The whole comparison without keys: no column is one, two columns are."""
-    later = spark.sql(WIDE).where("l_orderkey % 40 <> 0")
+    wide = _wide(spark)
+    later = wide.where("l_orderkey % 40 <> 0")
     later = later.withColumn("l_quantity", F.expr("l_quantity + if(l_partkey % 9 = 0, 1, 0)"))
-    return ra.compare(spark.sql(WIDE).select("l_linenumber", *WIDE_COLUMNS[:-1]), later.select(*WIDE_COLUMNS)).counts()
+    return ra.compare(wide.select("l_linenumber", *WIDE_COLUMNS[:-1]), later.select(*WIDE_COLUMNS)).counts()
 
 
 def _top_keys_sql(table: str, columns: list[str], n: int) -> str:

@@ -85,7 +85,6 @@ SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 OPEN, CLOSE, TEXT = 0, 1, 2
 Event = tuple[int, str, str]  # kind, symbol or text, element name
@@ -102,6 +101,11 @@ def _words(named: list[str]) -> set[str]:
 
 
 def _symbol(name: str, attributes: str) -> tuple[str, str]:
+    """See ``_labelled``; short attributes repeat from page to page."""
+    return _repeated(name, attributes) if len(attributes) <= 200 else _labelled(name, attributes)
+
+
+def _labelled(name: str, attributes: str) -> tuple[str, str]:
     """Name with its first class or id, and a mark.
 
     ``!`` for no running text by its attributes, ``=`` for what readers wrote by a class name, ``?`` for others by one.
@@ -125,6 +129,9 @@ def _symbol(name: str, attributes: str) -> tuple[str, str]:
     return symbol, "" if name in NEVER_HIDDEN or not words else "=" if words & READERS else "?"
 
 
+_repeated = functools.lru_cache(maxsize=4096)(_labelled)
+
+
 def events(page: str) -> list[Event]:
     """The page as a well-formed stream, see ``_marked``.
 
@@ -231,7 +238,7 @@ def _marked(page: str) -> Iterator[Event]:
 
 
 def clean(raw: str) -> str:
-    return _SPACE.sub(" ", html.unescape(raw)).strip()
+    return " ".join(html.unescape(raw).split())
 
 
 # ---- wrappers --------------------------------------------------------------------------
@@ -249,8 +256,10 @@ def stream(page: str) -> list[Item]:
     hidden = 0
 
     def flush() -> None:
+        if not text:
+            return
         if found := clean("".join(text)):
-            out.append(("#a" if 2 * len(clean("".join(linked))) > len(found) else "#", found))
+            out.append(("#a" if linked and 2 * len(clean("".join(linked))) > len(found) else "#", found))
         text.clear()
         linked.clear()
 
@@ -258,7 +267,8 @@ def stream(page: str) -> list[Item]:
         if kind == TEXT:
             if not hidden:
                 text.append(value)
-                linked.append(value if name == "a" else "")
+                if name == "a":
+                    linked.append(value)
             continue
         if value[0] == "!":
             hidden += 1 if kind == OPEN else -1
@@ -274,17 +284,19 @@ def fold(items: list[Item], longest: int = 12) -> list[Item]:
     """Replace neighbouring groups with equal symbols by one repeated group, short groups first."""
     for size in range(1, longest + 1):
         out: list[Item] = []
+        symbols = [s for s, _ in items]
         i = 0
         while i < len(items):
-            group = [s for s, _ in items[i : i + size]]
+            group = symbols[i : i + size]
             n = 1
-            while len(group) == size and [s for s, _ in items[i + n * size : i + (n + 1) * size]] == group:
-                n += 1
+            if i + size < len(items) and symbols[i] == symbols[i + size]:
+                while symbols[i + n * size : i + (n + 1) * size] == group:
+                    n += 1
             if n > 1 and _balanced(group):
                 texts = JOIN.join(t for _, t in items[i : i + n * size] if t)
                 out.append((f"({' '.join(group)})+", texts))
                 i += n * size
-            elif i + size <= len(items) and out and out[-1][0] == f"({' '.join(group)})+":
+            elif out and out[-1][0][0] == "(" and len(group) == size and out[-1][0] == f"({' '.join(group)})+":
                 out[-1] = (out[-1][0], JOIN.join([out[-1][1], *(t for _, t in items[i : i + size] if t)]))
                 i += size
             else:
@@ -371,16 +383,25 @@ def prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
 def unlike(streams: list[list[Item]]) -> list[list[Item]]:
     """The streams without near copies of earlier ones, by the shares of their word runs."""
     kept: list[list[Item]] = []
-    known: list[Counter[tuple[str, ...]]] = []
+    known: list[tuple[Counter[tuple[str, ...]], int]] = []
     for items in streams:
         words = [w for _, t in items for w in t.split()]
-        runs = Counter(tuple(words[i : i + RUN]) for i in range(max(1, len(words) - RUN + 1)))
-        if all((runs & other).total() < NEAR * (runs | other).total() for other in known):
+        runs = Counter(zip(*(words[i:] for i in range(RUN))) if len(words) >= RUN else [tuple(words)])
+        n = max(1, len(words) - RUN + 1)
+        if not any(_alike(runs, n, *other) for other in known):
             kept.append(items)
-            known.append(runs)
+            known.append((runs, n))
     return kept
 
 
+def _alike(a: Counter, n: int, b: Counter, m: int) -> bool:
+    """Whether two multisets of ``n`` and ``m`` members share ``NEAR`` of their union; sizes far apart decide at once."""
+    if min(n, m) < NEAR * max(n, m):
+        return False
+    both = sum(min(a[x], b[x]) for x in a.keys() & b.keys())
+    return both >= NEAR * (n + m - both)
+
+
 def infer(pages: list[str]) -> dict:
     """The wrapper of some pages: its expression, the symbol path of the content, and the template's texts.
 
@@ -564,7 +585,10 @@ def wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
     rows = pages.select("host", "html", F.xxhash64("html").alias("h")).where("html is not null and html <> ''")
     # Hosts of a single group need no entry.
     many = rows.groupBy("host").agg(F.countDistinct("h").alias("n")).where(F.col("n") > group)
-    many = many.select("host", F.ceil(F.col("n") / group).alias("groups"))
+    many = settled(many.select("host", F.ceil(F.col("n") / group).alias("groups")), "html-hosts")
+    # Pages are shuffled once, by host and group: a join by host would leave all pages of a host in one task.
+    if (many.agg(F.sum(F.length("host"))).first()[0] or 0) <= SENT_BYTES:
+        many = F.broadcast(many)
     dealt = rows.join(many, "host", "left").withColumn("dealt", F.expr("coalesce(pmod(h, groups), 0)"))
     # Copies of a page meet before the shuffle already.
     groups = dealt.groupBy("host", "dealt").agg(F.array_sort(F.collect_set(F.struct("h", "html")))["html"].alias("html"))

@@ -8,9 +8,12 @@ import hashlib
 import io
 import json
 import random
+import sys
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowaccord.llm import html_text as h
 from rowaccord.llm import warc
@@ -279,6 +282,62 @@ def test_all_pages_of_a_host_vote(spark):
         assert text == f"Title {i}\n\n" + usual[i].split("<p>")[-1].split("<")[0]
 
 
+def plain_unlike(streams):
+    kept = []
+    for items in streams:
+        words = [w for _, t in items for w in t.split()]
+        runs = Counter(tuple(words[i : i + h.RUN]) for i in range(max(1, len(words) - h.RUN + 1)))
+        if all((runs & other).total() < h.NEAR * (runs | other).total() for _, other in kept):
+            kept.append((items, runs))
+    return [items for items, _ in kept]
+
+
+def test_near_copies_cost_no_call_a_word():
+    """Near copies are those of the plain definition, and pages without common runs are told apart cheaply."""
+    rng = random.Random(7)
+    for _ in range(60):
+        base = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        streams = [[("#", " ".join(rng.choice("abc") if rng.random() < 0.03 else w for w in base))] for _ in range(6)] + [[("#", "")], []]
+        assert h.unlike(streams) == plain_unlike(streams)
+    streams = [[("#", " ".join(f"w{i}x{k}" for k in range(2000)))] for i in range(6)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        kept = h.unlike(streams)
+    finally:
+        sys.setprofile(None)
+    assert kept == streams and calls < 2000
+
+
+def test_pages_of_a_host_are_dealt_to_tasks(spark):
+    """The shuffle of the pages goes by host and group."""
+    df = spark.createDataFrame([("a", f"<p>{i}</p>") for i in range(600)], "host string, html string")
+    seen = []
+
+    def spy(rows, f, schema):
+        seen.append(rows)
+        return by_batch(rows, f, schema)
+
+    by_batch, h.by_batch = h.by_batch, spy
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert h.wrappers(df).count() == 1
+        tasks = seen[0].select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        h.by_batch = by_batch
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert tasks > 1
+
+
 def test_every_page_counts(spark):
     rng = random.Random(6)
     pages = [f"<html><body><div class=m><p>We moved</p></div><div class=c><p>{' '.join(str(rng.random()) for _ in range(40))}</p></div></body></html>" for _ in range(50)]
